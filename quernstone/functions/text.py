@@ -22,3 +22,16 @@ def words(text: Column) -> Column:
 def with_positions(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """One row per word: the key columns, ``token`` and its ordinal ``pos`` (from 0)."""
     return df.select(*keys, F.posexplode(words(F.col(text))).alias("pos", "token"))
+
+
+def term_counts(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """One row per row and distinct word: the key columns, ``dl`` (words in all), ``term``, ``tf``.
+
+    Equal words are brought together by sorting inside the row, so nothing is shuffled and a very
+    long text costs n log n. Texts without words give no rows.
+    """
+    sorted_words = df.select(*keys, F.array_sort(words(F.col(text))).alias("_w"))
+    starts = F.filter(F.transform("_w", lambda w, i: F.when((i == 0) | (w != F.get("_w", i - 1)), i)), lambda i: i.isNotNull())
+    at = sorted_words.select(*keys, "_w", starts.alias("_s"))
+    runs = F.transform("_s", lambda i, n: F.struct(F.get("_w", i).alias("term"), (F.coalesce(F.get("_s", n + 1), F.size("_w")) - i).cast("long").alias("tf")))
+    return at.select(*keys, F.size("_w").cast("long").alias("dl"), F.explode(runs).alias("_t")).select(*keys, "dl", "_t.term", "_t.tf")

@@ -10,7 +10,7 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import words
+from ..functions.text import term_counts, words
 from .topk import check_k
 
 # Term saturation and length weight of the score.
@@ -24,9 +24,7 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
     Null, empty and wordless texts give no rows. A document is one row; repeated ids are the
     caller's to resolve. Counting happens within the row, so nothing is shuffled per token.
     """
-    w = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    return (w.select("id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
-            .groupBy("id", "term", "dl").agg(F.count("*").alias("tf")).select("id", "term", "tf", "dl"))
+    return term_counts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "id").select("id", "term", "tf", "dl")
 
 
 def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
