@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.vector import is_finite
 from ..operators.bounds import broadcast_if_small, checkpoint
@@ -37,7 +37,7 @@ MAX_PIVOTS = 65_536
 
 
 def similar_pairs(records: DataFrame, *, dim: int, k: int = 10, min_cosine: float = 0.9, relax: float = 0.06, trees: int = 4, leaf: int = 128,
-                  shard_rows: int = 25_000, seed: int = 17, id_col: str = "external_id", vector_col: str = "vector") -> DataFrame:
+                  shard_rows: int = 16_000, seed: int = 17, id_col: str = "external_id", vector_col: str = "vector") -> DataFrame:
     """Unordered pairs (external_id_a < external_id_b), each once, of cosine >= ``min_cosine`` in
     which one is among the ``k`` most similar others of the other (equal cosine: smaller id).
 
@@ -74,8 +74,8 @@ def similar_pairs(records: DataFrame, *, dim: int, k: int = 10, min_cosine: floa
     if not len(pivots):
         return spark.createDataFrame([], "external_id_a long, external_id_b long")
     radius = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
-    placed = rows.select("id", "v").mapInArrow(_router(pivots, dim, k, radius, relax), "shard int, home boolean, reach float, id long, v array<float>")
-    found = placed.groupBy("shard").applyInArrow(_searcher(dim, k, min_cosine, relax, trees, leaf, seed), "a long, b long, c double")
+    placed = rows.select("id", "v").mapInArrow(_router(pivots, _labels(spark, len(pivots)), dim, k, radius, relax), "shard int, home boolean, reach float, id long, v array<float>")
+    found = placed.repartition(len(pivots), "shard").groupBy("shard").applyInArrow(_searcher(dim, k, min_cosine, relax, trees, leaf, seed), "a long, b long, c double")
     if extra is not None:
         found = found.unionByName(extra.where(F.col("a") != F.col("b")))
     best = W.partitionBy("a").orderBy(F.desc("c"), "b")
@@ -104,7 +104,15 @@ def _pivots(rows: DataFrame, wanted: int, n: int, dim: int, seed: int) -> np.nda
     return np.unique(u.astype(np.float32), axis=0)[:wanted] if len(u) <= wanted else u[np.sort(np.random.default_rng(seed).permutation(len(u))[:wanted])].astype(np.float32)
 
 
-def _router(pivots: np.ndarray, dim: int, k: int, radius: float, relax: float):
+def _labels(spark: SparkSession, n: int) -> np.ndarray:
+    """Names of the shards, chosen so that Spark's hash puts each into a partition of its own."""
+    draws = spark.range(max(64, int(2 * n * np.log(n + 2)) + 8 * n)).select(F.col("id").cast("int").alias("label"))
+    first = draws.groupBy(F.pmod(F.hash("label"), F.lit(n)).alias("p")).agg(F.min("label").alias("label")).toArrow()
+    labels = first["label"].to_numpy()
+    return np.concatenate((labels, -1 - np.arange(n - len(labels)))).astype(np.int32)  # rarely two share a partition
+
+
+def _router(pivots: np.ndarray, labels: np.ndarray, dim: int, k: int, radius: float, relax: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v, fits = batch_matrix(b.column("v"), dim, np.float32)
@@ -122,7 +130,7 @@ def _router(pivots: np.ndarray, dim: int, k: int, radius: float, relax: float):
                 row, cell = np.nonzero(d <= (d[np.arange(len(d)), home] + 2 * relax * reach)[:, None])
                 out = v[s : s + 4096][row]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(row) + 1) * dim, dim, dtype=np.int32)), pa.array(out.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(cell == home[row]), pa.array(reach[row].astype(np.float32)), pa.array(ids[s : s + 4096][row]), lists], ["shard", "home", "reach", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(labels[cell]), pa.array(cell == home[row]), pa.array(reach[row].astype(np.float32)), pa.array(ids[s : s + 4096][row]), lists], ["shard", "home", "reach", "id", "v"])
 
     return run
 

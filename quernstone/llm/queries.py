@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .distinctive import term_weights, top_terms
+from .encode import encode
+from .frequency import term_frequencies
 from .neighbours import similar_pairs
+from .ranking import best_items, ideal_point
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,3 +38,68 @@ def live_records(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 @query()
 def p1_found(spark, folder):
     return similar_pairs(live_records(spark, folder, "vector"), dim=64)
+
+
+# -- words -----------------------------------------------------------------------------------
+
+_LIVE = r"""l as (select distinct external_id, text from records where lifecycle = 0),
+  w as (select external_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+'), lambda x: lower(x))) as term from l),
+  t as (select external_id, term, count(*) as tf from w group by all),
+  c as (select term, count(*) as df, sum(tf) as cf from t group by all),
+  d as (select external_id, sum(tf) as dl from t group by all),
+  s as (select (select count(*) from l)::double as n, (select sum(tf) from t)::double as words, (select sum(pow(cf, 0.75)) from c) as smooth)"""
+
+
+@query(f"""with {_LIVE},
+  x as (select external_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * (1.2 + 1.0) / (tf + 1.2 * (1.0 - 0.75 + 0.75 * dl / greatest(words / n, 1.0)))) as weight
+        from t join c using (term) join d using (external_id), s)
+  select external_id, term from x qualify row_number() over (partition by external_id order by weight desc, term) <= 3""")
+def p4_found(spark, folder):
+    return top_terms(term_weights(live_records(spark, folder, "text"), weight="bm25"), 3).select("external_id", "term")
+
+
+@query(f"""with {_LIVE},
+  x as (select external_id, term, round(greatest(ln((tf / words) / ((dl / words) * (pow(cf, 0.75) / smooth))), 0.0), 8) as weight
+        from t join c using (term) join d using (external_id), s)
+  select external_id, term, weight from x qualify row_number() over (partition by external_id order by weight desc, term) <= 3""")
+def p4_mutual_information(spark, folder):
+    weights = term_weights(live_records(spark, folder, "text"), weight="ppmi").withColumn("weight", F.round("weight", 8))
+    return top_terms(weights, 3).select("external_id", "term", "weight")
+
+
+@query(f"""with {_LIVE} select term, mark from (select term, case when df < 3 then 'rare' when df > n * 0.1 then 'common' end as mark from c, s) where mark is not null""")
+def p6_found(spark, folder):
+    return term_frequencies(live_records(spark, folder, "text")).where("mark is not null").select("term", "mark")
+
+
+@query(f"""with {_LIVE} select term, cast(cf as bigint) as occurrences, df as records from c""")
+def p6_counts(spark, folder):
+    return term_frequencies(live_records(spark, folder, "text")).select("term", "occurrences", "records")
+
+
+# -- rankings --------------------------------------------------------------------------------
+
+_HITS = "h as (select query_id, path, external_id, max(score) as score from hits where score is not null and not isnan(score) and query_id is not null and path is not null and external_id is not null group by all)"
+
+
+@query(f"""with {_HITS}, r as (select *, row_number() over (partition by query_id, path order by score desc, external_id) as place from h),
+  f as (select query_id, external_id, round(sum(1.0::double / (60 + place)), 9) as s from r group by all)
+  select query_id, external_id from f qualify row_number() over (partition by query_id order by s desc, external_id) <= 10""")
+def p5_found(spark, folder):
+    ranked = ideal_point(table(spark, folder, "hits"), scale="reciprocal_rank", power=1)
+    return best_items(ranked, 10, by="to_anti").select("query_id", "external_id")
+
+
+@query()
+def p5_ideal_point(spark, folder):
+    ranked = ideal_point(table(spark, folder, "hits"))
+    return best_items(ranked, 10).select("query_id", "external_id", F.round("closeness", 9).alias("closeness"), F.col("rank").cast("long").alias("rank"))
+
+
+# -- documents -------------------------------------------------------------------------------
+
+@query()
+def p7_ids(spark, folder):
+    import public_tokenizers
+
+    return encode(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
