@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .distinctive import term_weights, top_terms
 from .encode import encode
 from .frequency import term_frequencies
+from .leaks import leaked_items
 from .neighbours import similar_pairs
 from .ranking import best_items, ideal_point
 
@@ -103,3 +104,28 @@ def p7_ids(spark, folder):
     import public_tokenizers
 
     return encode(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+_W10 = r"list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+'), lambda x: lower(x))"
+
+
+def _windows_sql(name: str, key: str, source: str) -> str:
+    return f"""{name}w as (select {key}, {_W10} as w from {source}), {name} as (select distinct {key}, array_to_string(w[i : i + 9], ' ') as p
+      from (select {key}, w, unnest(range(1, len(w) - 8)) as i from {name}w where len(w) >= 10))"""
+
+
+@query(f"with {_windows_sql('i', 'item_id', 'eval_items')}, {_windows_sql('d', 'doc_id', 'documents')} select distinct doc_id, item_id from d join i using (p)")
+def p8_found(spark, folder):
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+@query(f"""with {_windows_sql('i', 'item_id', 'eval_items')}, {_windows_sql('d', 'doc_id', 'documents')}, f as (select distinct doc_id, item_id from d join i using (p))
+  select item_id, suite, count(doc_id) as documents from eval_items left join f using (item_id) group by all""")
+def p8_items(spark, folder):
+    items = table(spark, folder, "eval_items")
+    return items.select("item_id", "suite").join(p8_found(spark, folder), "item_id", "left").groupBy("item_id", "suite").agg(F.count("doc_id").alias("documents"))
+
+
+@query()
+def p8_near(spark, folder):
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"), max_edit=1)
