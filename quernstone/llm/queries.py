@@ -12,6 +12,7 @@ from .frequency import term_frequencies
 from .leaks import leaked_items
 from .neighbours import similar_pairs
 from .ranking import best_items, ideal_point
+from .spam import spam_documents, spam_shares
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -129,3 +130,14 @@ def p8_items(spark, folder):
 @query()
 def p8_near(spark, folder):
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"), max_edit=1)
+
+
+@query()
+def p9_found(spark, folder):
+    return spam_documents(table(spark, folder, "documents"))
+
+
+@query()
+def p9_shares(spark, folder):
+    shares = spam_shares(table(spark, folder, "documents"))
+    return shares.select("doc_id", F.round("spam_share", 6).alias("spam_share"))
