@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from ..errors import StorageError
+
 
 class Files:
     """Text files with atomic replacement, listing and removal, through Hadoop's file systems."""
@@ -22,15 +25,18 @@ class Files:
         return fs.exists(p)
 
     def read_text(self, path: str) -> str | None:
-        """Content as UTF-8; None if there is no such file."""
+        """Content as UTF-8; None if there is no such file, ``StorageError`` if it can't be read."""
         fs, p = self._at(path)
         if not fs.exists(p):
             return None
-        stream = fs.open(p)
         try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+            stream = fs.open(p)
+            try:
+                return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+        except Py4JJavaError as e:
+            raise StorageError(f"{path} can't be read: {e.java_exception.getMessage()}") from e
 
     def replace_text(self, path: str, text: str) -> None:
         """Writes a new file beside ``path`` and renames it over: readers see the old or the new."""
