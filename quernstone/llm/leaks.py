@@ -83,71 +83,76 @@ def sampled_places(window: int, table: int, seed: int) -> np.ndarray:
     return np.sort(np.random.default_rng((seed, table)).permutation(3 * window)[:SAMPLED])
 
 
-def walk_keys(hashes: np.ndarray, starts: np.ndarray, window: int, table: int, seed: int) -> np.ndarray:
-    """Key of each window in one table: the sampled places of its own CGK walk."""
+def walk_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, table: int, seed: int) -> np.ndarray:
+    """Key of the words from each start to its end: the sampled places of their own CGK walk."""
     places = set(sampled_places(window, table, seed).tolist())
     bits = _mix(hashes, seed * 1009 + table + 1)  # bit j of a word's number moves the cursor at step j
-    bits2 = _mix(hashes, seed * 1009 + table + 7_001) if 3 * window > 64 else bits
+    more = _mix(hashes, seed * 1009 + table + 7_001) if 3 * window > 64 else bits
     key = np.full(len(starts), seed + table + 1, np.uint64)
-    at, end = starts.copy(), starts + window
-    top = np.maximum(len(hashes) - 1, 0)
+    at, top = starts.copy(), np.maximum(len(hashes) - 1, 0)
     with np.errstate(over="ignore"):
         for j in range(max(places) + 1):
             here = np.minimum(at, top)
             if j in places:
-                out = np.where(at < end, hashes[here], _END)
+                out = np.where(at < ends, hashes[here], _END)
                 key = (key ^ out) * _ODD
                 key ^= key >> np.uint64(29)
-            step = ((bits if j % 128 < 64 else bits2)[here] >> np.uint64(j % 64)) & np.uint64(1)
-            at = np.minimum(at + step.astype(np.int64), end)
+            step = ((bits if j % 128 < 64 else more)[here] >> np.uint64(j % 64)) & np.uint64(1)
+            at = np.minimum(at + step.astype(np.int64), ends)
     return key
 
 
-def collision_rate(window: int, max_edit: int, table: int = 0, seed: int = 1, trials: int = 4000) -> float:
-    """Share of random strings that keep their key under ``max_edit`` random edits, by simulation."""
+def simulated_hits(window: int, max_edit: int, table: int, seed: int, trials: int = 3000) -> np.ndarray:
+    """Which of many random strings keep their key under ``max_edit`` random edits inside a text."""
     rng = np.random.default_rng((seed, window, max_edit))
-    a = rng.integers(1, 2**62, (trials, window)).astype(np.uint64)
+    word = lambda: int(rng.integers(1, 2**62))
+    a = rng.integers(1, 2**62, (trials, window))
     b = []
-    for row in a:
-        s = row.tolist()
+    for row in a.tolist():
+        s = row
         for _ in range(max_edit):
-            i, kind = int(rng.integers(len(s))), int(rng.integers(3))
-            new = int(rng.integers(1, 2**62))
-            s = s[:i] + [new] + s[i + 1:] if kind == 0 else s[:i] + [new] + s[i:] if kind == 1 else s[:i] + s[i + 1:] + [new]
-        b.append(s[:window])
+            i, kind = int(rng.integers(window)), int(rng.integers(3))
+            s = s[:i] + ([word()] if kind == 0 else [word(), *s[i : i + 1]] if kind == 1 else []) + s[i + 1 :]
+        b.append([*s, *(word() for _ in range(max_edit))][:window])  # text goes on behind it
     starts = np.arange(trials) * window
-    ka, kb = (walk_keys(np.asarray(x, np.uint64).ravel(), starts, window, table, seed) for x in (a, b))
-    return float((ka == kb).mean())
+    ka, kb = (walk_keys(np.asarray(x, np.uint64).ravel(), starts, starts + window, window, table, seed) for x in (a, b))
+    return ka == kb
 
 
-def tables_for(window: int, max_edit: int, target_recall: float, seed: int = 1) -> int:
-    """Tables needed to meet the recall: misses of independent tables multiply."""
+def tables_for(window: int, max_edit: int, target_recall: float, seed: int = 1, most: int = 256) -> int:
+    """Tables needed to meet the recall, by simulation: where an edit lies decides how likely all
+    tables miss it, so their misses don't just multiply."""
     if max_edit == 0:
         return 1
-    rates = [collision_rate(window, max_edit, t, seed) for t in range(4)]
-    rate = min(max(sum(rates) / 4, 1e-3), 0.999)
-    return max(1, int(np.ceil(np.log(1 - target_recall) / np.log(1 - rate))))
-
-
-def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Levenshtein distance of each row pair, by dynamic programming over all pairs at once."""
+    want = target_recall + (1 - target_recall) / 4  # for the error of the simulation
+    hit = np.zeros(1, bool)
+    for n in range(1, most + 1):
+        hit = hit | simulated_hits(window, max_edit, n - 1, seed)
+        if hit.mean() >= want:
+            return n
+    raise ValueError(f"{most} tables don't reach a recall of {target_recall} for {max_edit} edits in {window} words")
+
+
+def edit_distances(a: np.ndarray, b: np.ndarray, slack: int = 0) -> np.ndarray:
+    """Smallest Levenshtein distance of each row of ``a`` to a beginning of the same row of ``b``
+    that is at most ``slack`` words shorter or longer; dynamic programming over all rows at once."""
     n, w = a.shape
-    row = np.tile(np.arange(w + 1), (n, 1))
+    row = np.tile(np.arange(b.shape[1] + 1), (n, 1))
     for i in range(w):
         new = np.empty_like(row)
         new[:, 0] = i + 1
-        change = row[:, :-1] + (a[:, i : i + 1] != b)
-        best = np.minimum(change, row[:, 1:] + 1)
-        for j in range(w):
+        best = np.minimum(row[:, :-1] + (a[:, i : i + 1] != b), row[:, 1:] + 1)
+        for j in range(b.shape[1]):
             new[:, j + 1] = np.minimum(best[:, j], new[:, j] + 1)
         row = new
-    return row[:, -1]
+    return row[:, max(0, w - slack) : w + slack + 1].min(1)
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, *, window: int = 10, max_edit: int = 0, target_recall: float = 0.95, seed: int = 1,
                  doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", passages: int = PASSAGES) -> DataFrame:
-    """doc_id, item_id of every document and item that share a passage of ``window`` words, up to
-    ``max_edit`` inserted, removed or changed words; each pair once.
+    """doc_id, item_id of every document and item that share a passage: some ``window`` consecutive
+    words of the item stand in the document with at most ``max_edit`` words inserted, removed or
+    changed. Each pair once.
 
     For ``max_edit`` 0 the result is exact. Otherwise each reported pair is true, and a pair that
     differs by random edits is found with ``target_recall`` or more, as more of its windows match.
@@ -181,13 +186,11 @@ class _Index:
         self.words, self.hashes = [lower(w) for w in raw], hashes
         starts, text = window_starts(sizes, window)
         self.item = ids[text] if len(text) else np.empty(0, np.int64)
-        self.starts, self.tables = starts, []
+        self.starts, self.tables, self.filters = starts, [], []
         for t in range(tables):
-            keys = walk_keys(hashes, starts, window, t, seed)
+            keys = walk_keys(hashes, starts, starts + window, window, t, seed)
             order = np.argsort(keys, kind="stable")
             self.tables.append((keys[order], order))
-        self.filters = []
-        for keys, _ in self.tables:
             seen = np.zeros(1 << 22, bool)
             seen[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
             self.filters.append(np.packbits(seen))
@@ -204,7 +207,7 @@ class _Index:
 
 
 def _searcher(index: _Index, max_edit: int):
-    w, span = index.window, np.arange(index.window)
+    w, wide = index.window, np.arange(index.window + max_edit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -212,33 +215,42 @@ def _searcher(index: _Index, max_edit: int):
             for s in range(0, whole.num_rows, 512):
                 b = whole.slice(s, 512)
                 raw, hashes, sizes = words.split(b.column("text").to_pylist())
-                starts, text = window_starts(sizes, w)
+                starts, text = window_starts(sizes, w - max_edit)
                 if not len(starts) or not len(index.starts):
                     continue
+                text_ends = np.cumsum(sizes)[text]
+                ends = np.minimum(starts + w, text_ends)
                 ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-                pairs: dict[tuple[int, int], bool] = {}
+                pairs: set[tuple[int, int]] = set()
                 for t in range(len(index.tables)):
-                    mine, theirs = index.candidates(walk_keys(hashes, starts, w, t, index.seed), t)
-                    a, c = starts[mine], index.starts[theirs]
-                    # Far candidates, such as those that agree in the sampled places only, go here.
-                    for x in range(0, len(a), 65_536):
-                        p, q = a[x : x + 65_536], c[x : x + 65_536]
-                        wa, wc = hashes[p[:, None] + span], index.hashes[q[:, None] + span]
-                        near = np.flatnonzero((wa == wc).all(1) if max_edit == 0 else edit_distances(wa, wc) <= max_edit)
+                    mine, theirs = index.candidates(walk_keys(hashes, starts, ends, w, t, index.seed), t)
+                    for x in range(0, len(mine), 65_536):
+                        m, q = mine[x : x + 65_536], index.starts[theirs[x : x + 65_536]]
+                        place = starts[m][:, None] + wide
+                        here = np.where(place < text_ends[m][:, None], hashes[np.minimum(place, len(hashes) - 1)], _END)
+                        passage = index.hashes[q[:, None] + wide[:w]]
+                        # Candidates that agree in the sampled places only go here.
+                        near = np.flatnonzero((passage == here).all(1) if max_edit == 0 else edit_distances(passage, here, max_edit) <= max_edit)
                         for i in near.tolist():
-                            pair = (int(ids[text[mine[x + i]]]), int(index.item[theirs[x + i]]))
-                            if pair not in pairs and _edits([lower(v) for v in raw[p[i] : p[i] + w]], index.words[q[i] : q[i] + w]) <= max_edit:
-                                pairs[pair] = True
+                            pair = (int(ids[text[m[i]]]), int(index.item[theirs[x + i]]))
+                            if pair not in pairs:
+                                at = starts[m[i]]
+                                mine_words = [lower(v) for v in raw[at : min(at + w + max_edit, text_ends[m[i]])]]
+                                if _near(index.words[q[i] : q[i] + w], mine_words, max_edit):
+                                    pairs.add(pair)
                 if pairs:
-                    d, i = zip(*pairs)
+                    d, i = zip(*sorted(pairs))
                     yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64())], ["doc_id", "item_id"])
 
     return run
 
 
-def _edits(a: list[str], b: list[str]) -> int:
-    """Edit distance of the words themselves, so that no hash has the last word."""
-    if a == b:
-        return 0
-    number = {w: i for i, w in enumerate(dict.fromkeys(a + b))}
-    return int(edit_distances(np.array([[number[w] for w in a]]), np.array([[number[w] for w in b]]))[0])
+def _near(passage: list[str], words: list[str], max_edit: int) -> bool:
+    """The same check on the words themselves, so that no hash has the last word."""
+    if passage == words[: len(passage)]:
+        return True
+    if not max_edit:
+        return False
+    number = {w: i for i, w in enumerate(dict.fromkeys(passage + words))}
+    coded = [number[w] for w in words] + [-1] * (len(passage) + max_edit - len(words))
+    return int(edit_distances(np.array([[number[w] for w in passage]]), np.array([coded]), max_edit)[0]) <= max_edit
