@@ -220,18 +220,21 @@ class Collection:
         rows = self.frame() if where is None else self.frame().where(self._where(where))
         return exact_top_k(rows, query, k, self._metric(metric), dim=self.dim)
 
-    def search(self, query: Sequence[float], k: int, metric: str | None = None, where: Any = None, probes: int | None = None) -> DataFrame:
+    def search(self, query: Sequence[float], k: int, metric: str | None = None, where: Any = None, probes: int | None = None, pool: int | None = None) -> DataFrame:
         """Ranking through the snapshot's index where it serves the request, else exact.
 
         Changes since the snapshot are always scored exactly and hide what they replaced.
+        ``pool`` asks for so many candidates at least; one smaller than ``k`` is an error.
         """
         m, check = self._metric(metric), check_k(k)
+        if pool is not None and pool < k:
+            raise SchemaError(f"a pool of {pool} candidates can't give {k} results")
         q = check_query(query, m, self.dim)
         index = self._open_index()
         if where is not None or index is None or not index.serves(q, check, m):
             return self.exact_search(q, k, m, where)
         _, tail = self.store.sealed_and_tail()
-        return indexed_search(index, tail, q, k, m, probes=probes)
+        return indexed_search(index, tail, q, k, m, probes=probes, pool=pool)
 
     def _open_index(self) -> IvfIndex | None:
         if self._index is None and self.store.snapshot and self.store.files.exists(f"{self._index_folder()}/index.json"):

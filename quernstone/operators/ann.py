@@ -9,10 +9,10 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..errors import SchemaError, StorageError
-from ..functions.vector import Metric, check_query
+from ..functions.vector import Metric, check_query, dot, norm, squared_distance
 from ..sources.files import Files
 from .topk import batch_matrix, check_k, exact_top_k
 
@@ -138,18 +138,56 @@ class IvfIndex:
         """False where only an exact scan will do: other metric, prefix query, k or table size."""
         return metric is self.metric and len(query) == self.dim and k < self.rows > self.config.exact_below
 
-    def candidates(self, query: Sequence[float], k: int, probes: int | None = None) -> DataFrame:
+    def lists(self) -> DataFrame:
+        """All indexed rows: id, seq, vector, list_id."""
+        return self.spark.read.schema(self._schema).parquet(f"{self.folder}/lists")
+
+    def probes_for(self, k: int, probes: int | None, pool: int | None) -> int:
+        """Lists to read so that about ``pool`` candidates (4 k by default) come together."""
+        if pool is not None and pool < k:
+            raise SchemaError(f"a pool of {pool} candidates can't give {k} results")
+        return max(probes or self.config.probes, -(-(pool or 4 * k) * len(self.centres) // max(1, self.rows)))
+
+    def candidates(self, query: Sequence[float], k: int, probes: int | None = None, pool: int | None = None) -> DataFrame:
         """Rows of the lists nearest to the query; only their partitions are read."""
         q = np.array(check_query(query, self.metric, self.dim))
         if self.metric is Metric.COSINE:
             q = q / np.sqrt(q @ q)
-        n = max(probes or self.config.probes, -(-4 * k * len(self.centres) // max(1, self.rows)))
-        near = [-1, *map(int, nearest(q[None], self.centres, n)[0])]
-        rows = self.spark.read.schema(self._schema).parquet(f"{self.folder}/lists")
-        return rows.where(F.col("list_id").isin(near)).drop("list_id")
+        near = [-1, *map(int, nearest(q[None], self.centres, self.probes_for(k, probes, pool))[0])]
+        return self.lists().where(F.col("list_id").isin(near)).drop("list_id")
+
+    def batch_search(self, queries: DataFrame, k: int, *, qid_col: str = "qid", qvector_col: str = "qvector", probes: int | None = None, pool: int | None = None, digits: int = 9) -> DataFrame:
+        """For each query row its ``k`` best among the rows of its nearest lists: qid, rank, id, score.
 
+        Queries and rows meet in a join on the list, so only probed lists are scored and no side
+        need be small. A query's or list's share of the work is bounded by the probes and by the
+        list sizes. Queries that are null, of another length or (cosine) zero give no rows.
+        """
+        check_k(k)
+        n, centres, dim, unit = self.probes_for(k, probes, pool), self.centres, self.dim, self.metric is Metric.COSINE
 
-def indexed_search(index: IvfIndex, tail: DataFrame, query: Sequence[float], k: int, metric: Metric | str, *, live_op: str = "upsert", probes: int | None = None) -> DataFrame:
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                v, fits = batch_matrix(b.column("qv"), dim)
+                ok = np.isfinite(v).all(1) & ((v != 0).any(1) if unit else True)
+                v, fits = v[ok], fits[ok]
+                if not len(v):
+                    continue
+                near = nearest(v / np.sqrt((v * v).sum(1, keepdims=True)) if unit else v, centres, n)
+                near = np.concatenate((near, np.full((len(v), 1), -1)), 1)
+                row = np.repeat(np.arange(len(v)), near.shape[1])
+                yield pa.RecordBatch.from_arrays([b.column("qid").take(pa.array(fits[row])), b.column("qv").take(pa.array(fits[row])), pa.array(near.ravel().astype(np.int32))], ["qid", "qv", "list_id"])
+
+        asked = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvector_col).cast("array<float>").alias("qv")).where(F.col("qid").isNotNull() & (F.size("qv") == dim)).dropDuplicates(["qid"])
+        met = asked.mapInArrow(route, "qid long, qv array<float>, list_id int").join(self.lists(), "list_id")
+        a, q = F.col("vector"), F.col("qv")
+        raw = -squared_distance(a, q) if not unit else F.when((norm(a) > 0) & (norm(q) > 0), dot(a, q) / (norm(a) * norm(q)))
+        scored = met.where(F.size("vector") == dim).select("qid", "id", F.round(raw, digits).alias("score")).where(F.col("score").isNotNull() & ~F.isnan("score"))
+        w = W.partitionBy("qid").orderBy(F.desc("score"), "id")
+        return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("qid", "rank", "id", "score")
+
+
+def indexed_search(index: IvfIndex, tail: DataFrame, query: Sequence[float], k: int, metric: Metric | str, *, live_op: str = "upsert", probes: int | None = None, pool: int | None = None) -> DataFrame:
     """``k`` best of sealed candidates and the exact tail: id, score, seq.
 
     ``tail`` holds the latest change per id since the index was built (id, seq, vector, op). Any
@@ -158,9 +196,10 @@ def indexed_search(index: IvfIndex, tail: DataFrame, query: Sequence[float], k:
     metric, k = Metric.of(metric), check_k(k)
     q = check_query(query, metric, index.dim)
     if index.serves(q, k, metric):
-        sealed = index.candidates(q, k, probes)
+        sealed = index.candidates(q, k, probes, pool)
     else:
-        sealed = index.spark.read.schema(index._schema).parquet(f"{index.folder}/lists").drop("list_id")
+        index.probes_for(k, probes, pool)
+        sealed = index.lists().drop("list_id")
     fresh = sealed.join(tail.select("id"), "id", "left_anti")
     every = fresh.unionByName(tail.where(F.col("op") == live_op).select("id", "seq", "vector"))
     return exact_top_k(every, q, k, metric, dim=index.dim)

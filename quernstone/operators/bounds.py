@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A side is broadcast only up to so many rows; callers say how wide a row is at most.
 BROADCAST_BYTES = 32 << 20
@@ -19,6 +20,17 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def scratch_folder(spark: SparkSession, prefix: str) -> str:
+    """A new folder that all executors reach: under ``spark.checkpoint.dir``, or, in a local
+    session that has none, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="scratch-")
+    return f"{base.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, its lineage cut.
 
@@ -27,10 +39,5 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(scratch_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint()

@@ -12,9 +12,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .api import connect
 from .functions import text as text_fn, vector as vec
-from .operators import bm25, changes, fusion, incremental, liveview, topk
-from .plans import Compare, Eq, Fields, In, NotPresent, Present, Range, filter_column, parse_where, value_column
+from .operators import ann, bm25, changes, fusion, incremental, liveview, topk
+from .operators.bounds import scratch_folder
+from .plans import Compare, Eq, FaithfulMeta, Fields, In, NotPresent, Present, Range, filter_column, parse_where, value_column
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -126,6 +128,24 @@ def recall_exact_vs_exact(spark, folder):
     return topk.recall_at_k(blocked, topk.batch_top_k(v, queries, 10, "l2", dim=64), 10)
 
 
+@query()
+def ann_topk(spark, folder):
+    """Index over all vectors, ten nearest of vector 0 by cosine; no SQL, as it is approximate."""
+    v = _vectors(spark, folder)
+    index = ann.IvfIndex.build(v, scratch_folder(spark, "index"), "cosine", 64)
+    nothing = v.select("id", "seq", "vector", F.lit("upsert").alias("op")).limit(0)
+    return ann.indexed_search(index, nothing, _first_vector(v), 10, "cosine")
+
+
+@query()
+def ann_recall(spark, folder):
+    """Recall of the index for every query id divisible by 100, against the exact ranking."""
+    v = _vectors(spark, folder)
+    index = ann.IvfIndex.build(v, scratch_folder(spark, "index"), "l2", 64)
+    queries = v.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("qvector"))
+    return topk.recall_at_k(index.batch_search(queries, 10), topk.batch_top_k(v, queries, 10, "l2", dim=64), 10)
+
+
 # -- filters ---------------------------------------------------------------------------------
 
 def _records(spark, folder):
@@ -188,6 +208,19 @@ def where_value_column(spark, folder):
     return r.select("id", value_column(parse_where("year >= 2015 OR NOT score <= 3.5"), Fields.of(r)).alias("verdict"))
 
 
+@query(_records_sql("(meta_lang = 'de' or meta_year >= 2015) and meta_ok is not null"))
+def where_tagged_metadata(spark, folder):
+    """The same filters where all metadata sits in one array of tagged entries."""
+    def entry(key, column, slot):
+        cells = [(F.col(column) if slot == k else F.lit(None)).cast(t).alias(k) for k, t in (("i", "long"), ("f", "double"), ("b", "boolean"), ("s", "string"), ("y", "binary"))]
+        return F.when(F.col(column).isNotNull(), F.struct(F.lit(key).alias("k"), *cells))
+
+    r = _records(spark, folder)
+    tagged = F.array(entry("lang", "lang", "s"), entry("year", "year", "i"), entry("score", "score", "f"), entry("ok", "ok", "b"))
+    rows = r.select("id", "seq", F.filter(tagged, lambda e: e.isNotNull()).alias("meta"))
+    return rows.where(filter_column(parse_where("(lang = 'de' OR year >= 2015) AND ok IS NOT NULL"), FaithfulMeta())).select("id", "seq")
+
+
 # -- text ------------------------------------------------------------------------------------
 
 _WORDS = r"list_transform(regexp_extract_all(coalesce({t}, ''), '[\p{{L}}\p{{N}}]+'), lambda w: lower(w))"
@@ -333,6 +366,19 @@ def l0_shadow_antijoin(spark, folder):
     return liveview.shadowed(table(spark, folder, "records").select("external_id", "seq"), newer, "external_id")
 
 
+@query("""select vec_id as id, case when vec_id % 5 = 0 then 'second' else 'first' end as text from embeddings where vec_id % 7 <> 0""")
+def store_after_checkpoint(spark, folder):
+    """A durable collection: added, deleted, replaced, compacted, and opened again."""
+    v, at = _vectors(spark, folder).select("id", "vector"), scratch_folder(spark, "collection")
+    c = connect(spark, at, metric="l2")
+    c.add_frame(v.withColumn("text", F.lit("first")))
+    c.store.delete(v.where("id % 7 = 0").select("id"))
+    c.commit()
+    c.checkpoint(index=False)
+    c.add_frame(v.where("id % 5 = 0 and id % 7 <> 0").withColumn("text", F.lit("second")))
+    return connect(spark, at).frame().select("id", "text")
+
+
 _ENTRIES = """e as (select seq, external_id, min(lifecycle) as lifecycle, bool_or(commit_seq is not null) as acked from segment_entries group by 1, 2),
   a as (select external_id, seq, lifecycle from records union all select external_id, seq, lifecycle from e where acked)"""
 

@@ -225,6 +225,11 @@ def test_index_contract(spark, tmp_path):
     hits = ann.indexed_search(a, empty, [5.0, 0.0], 3, "l2").collect()
     assert [r.id for r in hits] == [5, 4, 6]
     assert [r.id for r in ann.indexed_search(a, empty, [5.0, 0.0], 2, "dot").collect()] == [299, 298]
+    queries = df.where("id in (0, 7, 299, 900, 901)").selectExpr("id as qid", "vector as qvector").unionByName(df.where("id = 7").selectExpr("id as qid", "vector as qvector"))
+    got = {(r.qid, r["rank"]): r.id for r in a.batch_search(queries, 2, probes=2).collect()}
+    assert got == {(0, 1): 0, (0, 2): 1, (7, 1): 7, (7, 2): 6, (299, 1): 299, (299, 2): 298}
+    with pytest.raises(qs.SchemaError):
+        a.candidates([5.0, 0.0], 3, pool=2)
     flat = FlatIndex(df)
     assert len(flat) == 302 and flat.candidates([1.0], 1).count() == 302
     with pytest.raises(qs.StorageError):
