@@ -29,7 +29,7 @@ WORD = r"[\p{Alphabetic}\p{N}]+"
 #: Places of the walk that make up a key.
 SAMPLED = 6
 #: Passages of one pass over the corpus; more items are searched in blocks.
-PASSAGES = 200_000
+PASSAGES = 1_000_000
 _END = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -187,17 +187,18 @@ class _Index:
         starts, text = window_starts(sizes, window)
         self.item = ids[text] if len(text) else np.empty(0, np.int64)
         self.starts, self.tables, self.filters = starts, [], []
+        self.mask = max(1 << 22, 1 << (16 * len(starts)).bit_length()) - 1
         for t in range(tables):
             keys = walk_keys(hashes, starts, starts + window, window, t, seed)
             order = np.argsort(keys, kind="stable")
             self.tables.append((keys[order], order))
-            seen = np.zeros(1 << 22, bool)
-            seen[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+            seen = np.zeros(self.mask + 1, bool)
+            seen[(keys & np.uint64(self.mask)).astype(np.int64)] = True
             self.filters.append(np.packbits(seen))
 
     def candidates(self, keys: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
         """Windows and passages with an equal key."""
-        low = (keys & np.uint64((1 << 22) - 1)).astype(np.int64)
+        low = (keys & np.uint64(self.mask)).astype(np.int64)
         some = np.flatnonzero((self.filters[table][low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & 1)
         sorted_keys, order = self.tables[table]
         left, right = (np.searchsorted(sorted_keys, keys[some], side) for side in ("left", "right"))

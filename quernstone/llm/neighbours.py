@@ -121,16 +121,17 @@ def _router(pivots: np.ndarray, labels: np.ndarray, dim: int, k: int, radius: fl
                 continue
             ids, v = b.column("id").to_numpy(zero_copy_only=False)[fits][good], v[good]
             u = u.astype(np.float32)
-            for s in range(0, len(u), 4096):
-                d = np.sqrt(np.maximum(0, 2 - 2 * (u[s : s + 4096] @ pivots.T)))
+            step = max(16, (1 << 23) // len(pivots))  # a bounded matrix, however many pivots
+            for s in range(0, len(u), step):
+                d = np.sqrt(np.maximum(0, 2 - 2 * (u[s : s + step] @ pivots.T)))
                 home = d.argmin(1)
                 reach = np.full(len(d), radius, np.float32)
                 if len(pivots) > k:
                     reach = np.minimum(reach, np.partition(d, k, axis=1)[:, k] + np.float32(1e-3))
                 row, cell = np.nonzero(d <= (d[np.arange(len(d)), home] + 2 * relax * reach)[:, None])
-                out = v[s : s + 4096][row]
+                out = v[s : s + step][row]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(row) + 1) * dim, dim, dtype=np.int32)), pa.array(out.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(labels[cell]), pa.array(cell == home[row]), pa.array(reach[row].astype(np.float32)), pa.array(ids[s : s + 4096][row]), lists], ["shard", "home", "reach", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(labels[cell]), pa.array(cell == home[row]), pa.array(reach[row].astype(np.float32)), pa.array(ids[s : s + step][row]), lists], ["shard", "home", "reach", "id", "v"])
 
     return run
 
