@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -170,6 +171,12 @@ class Encoder:
         self.flat = np.concatenate((self.flat, np.fromiter((t for x in ids for t in x), np.int32, int(length.sum()))))
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str, pattern: str) -> Encoder:
+    """One encoder for all tasks that a worker process runs."""
+    return Encoder(Vocabulary.load(path), pattern)
+
+
 def encode(documents: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", batch: int = 1024) -> DataFrame:
     """doc_id, ids: token ids of every row's text, in order, without special tokens.
 
@@ -178,7 +185,7 @@ def encode(documents: DataFrame, vocabulary: str, pattern: str, *, id_col: str =
     be able to read. Strings that look like special tokens are ordinary text. No shuffle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary.load(vocabulary), pattern)
+        encoder = _encoder(vocabulary, pattern)
         for whole in batches:
             for s in range(0, whole.num_rows, batch):
                 b = whole.slice(s, batch)
