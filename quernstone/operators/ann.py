@@ -20,10 +20,12 @@ from .topk import batch_matrix, check_k, exact_top_k
 @dataclass(frozen=True)
 class IvfConfig:
     """Settings of an index. The lists' centres are fitted on at most ``sample`` rows (chosen by
-    hash of the id); every row is indexed. ``lists`` None: about the root of the row count."""
+    hash of the id); every row is indexed. ``lists`` None: about the root of the row count. A
+    search reads ``probes`` lists, or as many more as the sample needs for ``target_recall``."""
 
     lists: int | None = None
-    probes: int = 16
+    probes: int = 8
+    target_recall: float = 0.98
     sample: int = 50_000
     rounds: int = 8
     seed: int = 0x5EED
@@ -76,6 +78,23 @@ def nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     return np.take_along_axis(part, np.argsort(np.take_along_axis(d, part, 1), axis=1, kind="stable"), 1)
 
 
+def probes_needed(x: np.ndarray, centres: np.ndarray, recall: float, k: int = 10, queries: int = 300) -> int:
+    """Lists that must be read to find that share of the k nearest neighbours, measured inside the
+    sample. In a larger table neighbours are nearer, so fewer lists would do."""
+    if len(x) <= k + 1:
+        return len(centres)
+    q = x[: min(queries, len(x))]
+    d = (x * x).sum(1) - 2 * (q @ x.T)
+    d[np.arange(len(q)), np.arange(len(q))] = np.inf
+    near = np.argpartition(d, k, axis=1)[:, :k]
+    home = nearest(x, centres, 1)[:, 0]
+    order = nearest(q, centres, len(centres))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(centres))[None], 1)
+    at = np.sort(np.take_along_axis(place, home[near], 1).ravel())
+    return int(at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)]) + 1
+
+
 class IvfIndex:
     """Index on storage: one Parquet partition per list, so that probing prunes the scan."""
 
@@ -89,7 +108,7 @@ class IvfIndex:
         meta = json.loads(text)
         self.metric, self.dim, self.rows = Metric.of(meta["metric"]), meta["dim"], meta["rows"]
         self.config, self.centres = IvfConfig(**meta["config"]), np.array(meta["centres"])
-        self._schema = meta["schema"]
+        self._schema, self.probes = meta["schema"], meta["probes"]
 
     def __len__(self) -> int:
         return self.rows
@@ -114,6 +133,7 @@ class IvfIndex:
             x = x[(x != 0).any(1)]
             x = x / np.sqrt((x * x).sum(1, keepdims=True))
         centres = fit_centres(x, lists, config.rounds, config.seed) if len(x) else np.zeros((1, dim))
+        probes = max(config.probes, probes_needed(x, centres, config.target_recall)) if config.target_recall else config.probes
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -130,7 +150,7 @@ class IvfIndex:
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select("id", "seq", "vector").schema)
         placed = rows.select("id", "seq", "vector").mapInArrow(assign, f"{schema}, list_id int")
         placed.repartition("list_id", F.pmod(F.hash("id"), F.lit(max(1, n // 500_000 // lists)))).write.mode("overwrite").partitionBy("list_id").parquet(f"{folder}/lists")
-        meta = {"metric": metric.name.lower(), "dim": dim, "rows": n, "config": asdict(config), "centres": centres.tolist(), "schema": f"{schema}, list_id int"}
+        meta = {"metric": metric.name.lower(), "dim": dim, "rows": n, "config": asdict(config), "centres": centres.tolist(), "schema": f"{schema}, list_id int", "probes": min(probes, len(centres))}
         Files(spark).replace_text(f"{folder}/index.json", json.dumps(meta))
         return cls(spark, folder)
 
@@ -146,7 +166,7 @@ class IvfIndex:
         """Lists to read so that about ``pool`` candidates (4 k by default) come together."""
         if pool is not None and pool < k:
             raise SchemaError(f"a pool of {pool} candidates can't give {k} results")
-        return max(probes or self.config.probes, -(-(pool or 4 * k) * len(self.centres) // max(1, self.rows)))
+        return max(probes or self.probes, -(-(pool or 4 * k) * len(self.centres) // max(1, self.rows)))
 
     def candidates(self, query: Sequence[float], k: int, probes: int | None = None, pool: int | None = None) -> DataFrame:
         """Rows of the lists nearest to the query; only their partitions are read."""

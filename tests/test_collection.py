@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import quernstone as qs
 from pyspark.sql import functions as F
-from quernstone.operators import ann
+from quernstone.operators import ann, topk
 from quernstone.operators.ann import FlatIndex, IvfConfig, IvfIndex
 from quernstone.sources import synth
 from quernstone.sources.store import Store
@@ -214,8 +214,8 @@ def test_index_contract(spark, tmp_path):
     df = spark.createDataFrame([(i, i, [float(i), 0.0]) for i in range(300)] + [(900, 900, None), (901, 901, [math.nan, 1.0])], "id long, seq long, vector array<float>")
     with pytest.raises(qs.SchemaError):
         IvfIndex.build(df, str(tmp_path / "d"), "dot", 2)
-    a = IvfIndex.build(df, str(tmp_path / "a"), "l2", 2, IvfConfig(lists=8, probes=1))
-    b = IvfIndex.build(df.repartition(5), str(tmp_path / "b"), "l2", 2, IvfConfig(lists=8, probes=1))
+    a = IvfIndex.build(df, str(tmp_path / "a"), "l2", 2, IvfConfig(lists=8, probes=1, target_recall=0))
+    b = IvfIndex.build(df.repartition(5), str(tmp_path / "b"), "l2", 2, IvfConfig(lists=8, probes=1, target_recall=0))
     assert np.array_equal(a.centres, b.centres) and len(a) == 302
     plan = a.candidates([5.0, 0.0], 3)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(list_id" in plan or "list_id" in plan.split("PartitionFilters")[1].split("]")[0]
@@ -230,6 +230,12 @@ def test_index_contract(spark, tmp_path):
     assert got == {(0, 1): 0, (0, 2): 1, (7, 1): 7, (7, 2): 6, (299, 1): 299, (299, 2): 298}
     with pytest.raises(qs.SchemaError):
         a.candidates([5.0, 0.0], 3, pool=2)
+    noise = np.random.default_rng(1).standard_normal((1500, 24))  # no clusters: many lists are needed
+    rows = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(noise.astype(np.float32))], "id long, seq long, vector array<float>")
+    c = IvfIndex.build(rows, str(tmp_path / "c"), "l2", 24)
+    asked = rows.where("id % 50 = 0").selectExpr("id as qid", "vector as qvector")
+    assert c.probes > 8
+    assert topk.recall_at_k(c.batch_search(asked, 10), topk.batch_top_k(rows, asked, 10, "l2", dim=24), 10).first().mean_recall >= 0.95
     flat = FlatIndex(df)
     assert len(flat) == 302 and flat.candidates([1.0], 1).count() == 302
     with pytest.raises(qs.StorageError):
