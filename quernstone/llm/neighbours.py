@@ -36,8 +36,8 @@ from ..operators.topk import batch_matrix
 MAX_PIVOTS = 65_536
 
 
-def similar_pairs(records: DataFrame, *, dim: int, k: int = 10, min_cosine: float = 0.9, relax: float = 0.06, trees: int = 4, leaf: int = 128,
-                  shard_rows: int = 16_000, seed: int = 17, id_col: str = "external_id", vector_col: str = "vector") -> DataFrame:
+def similar_pairs(records: DataFrame, *, dim: int, k: int = 10, min_cosine: float = 0.9, relax: float = 0.07, trees: int = 5, leaf: int = 128,
+                  shard_rows: int = 25_000, seed: int = 17, id_col: str = "external_id", vector_col: str = "vector") -> DataFrame:
     """Unordered pairs (external_id_a < external_id_b), each once, of cosine >= ``min_cosine`` in
     which one is among the ``k`` most similar others of the other (equal cosine: smaller id).
 
