@@ -79,15 +79,16 @@ def window_starts(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
 
 
 def sampled_places(window: int, table: int, seed: int) -> np.ndarray:
-    """Which of the walk's 3 * window steps table ``table`` looks at."""
-    return np.sort(np.random.default_rng((seed, table)).permutation(3 * window)[:SAMPLED])
+    """Which steps of the walk table ``table`` looks at. A walk takes about 2 * window steps to its
+    end, behind which all walks are alike, so later steps would tell nothing."""
+    return np.sort(np.random.default_rng((seed, table)).permutation(2 * window)[:SAMPLED])
 
 
 def walk_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, table: int, seed: int) -> np.ndarray:
     """Key of the words from each start to its end: the sampled places of their own CGK walk."""
     places = set(sampled_places(window, table, seed).tolist())
     bits = _mix(hashes, seed * 1009 + table + 1)  # bit j of a word's number moves the cursor at step j
-    more = _mix(hashes, seed * 1009 + table + 7_001) if 3 * window > 64 else bits
+    more = _mix(hashes, seed * 1009 + table + 7_001) if 2 * window > 64 else bits
     key = np.full(len(starts), seed + table + 1, np.uint64)
     at, top = starts.copy(), np.maximum(len(hashes) - 1, 0)
     with np.errstate(over="ignore"):
@@ -207,6 +208,18 @@ class _Index:
         return np.repeat(some, n), order[pick]
 
 
+def _close(passage: np.ndarray, here: np.ndarray, max_edit: int) -> np.ndarray:
+    """Which pairs are within ``max_edit``. Each edit can spoil one word of the passage, so pairs
+    that lack more of its words are out before their distance is worked out."""
+    if not max_edit:
+        return np.flatnonzero((passage == here).all(1))
+    common = np.zeros(len(passage), np.int64)
+    for i in range(passage.shape[1]):
+        common += (passage[:, i : i + 1] == here[:, max(0, i - max_edit) : i + max_edit + 1]).any(1)
+    some = np.flatnonzero(common >= passage.shape[1] - max_edit)
+    return some[edit_distances(passage[some], here[some], max_edit) <= max_edit]
+
+
 def _searcher(index: _Index, max_edit: int):
     w, wide = index.window, np.arange(index.window + max_edit)
 
@@ -231,8 +244,7 @@ def _searcher(index: _Index, max_edit: int):
                         here = np.where(place < text_ends[m][:, None], hashes[np.minimum(place, len(hashes) - 1)], _END)
                         passage = index.hashes[q[:, None] + wide[:w]]
                         # Candidates that agree in the sampled places only go here.
-                        near = np.flatnonzero((passage == here).all(1) if max_edit == 0 else edit_distances(passage, here, max_edit) <= max_edit)
-                        for i in near.tolist():
+                        for i in _close(passage, here, max_edit).tolist():
                             pair = (int(ids[text[m[i]]]), int(index.item[theirs[x + i]]))
                             if pair not in pairs:
                                 at = starts[m[i]]
