@@ -7,6 +7,7 @@ text count as documents of length 0.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -58,9 +59,11 @@ def text_top_k(docs: DataFrame, query: str, k: int, *, where: Column | None = No
     """The ``k`` documents of highest BM25 score above 0: id, score[, seq]; equal score: smaller id.
 
     A query word counts as often as it is in the query. ``where`` restricts documents before N, df
-    and avgdl are taken. An empty query, ``k`` 0 or an empty table gives an empty result. Only
-    words of the query are counted, inside each row, so one pass brings a few numbers per document
-    and the one aggregate that a shuffle carries is a single row.
+    and avgdl are taken. An empty query, ``k`` 0 or an empty table gives an empty result.
+
+    Two scans, no shuffle of documents: one brings the statistics, a single row; the other cuts
+    only texts that contain a query word as a string and ranks them. For many queries over the same
+    rows keep the postings and use ``text_top_k_from_postings``.
     """
     check_k(k)
     counts = query_words(docs.sparkSession, query)
@@ -69,11 +72,16 @@ def text_top_k(docs: DataFrame, query: str, k: int, *, where: Column | None = No
     keep = [F.col(id_col)] + [F.col(seq_col)] * (seq_col is not None)
     out = [id_col, "score"] + [seq_col] * (seq_col is not None)
     terms = sorted(counts)
-    w = docs.select(*keep, words(F.col(text_col)).alias("_w"))
-    tf = [_times("_w", t).alias(f"_t{i}") for i, t in enumerate(terms)]
-    counted = w.select(*keep, F.size("_w").cast("double").alias("_dl"), *tf)
     if not terms or not k:
-        return counted.select(*keep, F.lit(0.0).alias("score")).select(*out).limit(0)
+        return docs.select(*keep, F.lit(0.0).alias("score")).select(*out).limit(0)
+    tf = [_times("_w", t).alias(f"_t{i}") for i, t in enumerate(terms)]
+
+    def count(rows: DataFrame) -> DataFrame:
+        return rows.select(*keep, words(F.col(text_col)).alias("_w")).select(*keep, F.size("_w").cast("double").alias("_dl"), *tf)
+
+    small = F.lower(F.translate(F.col(text_col), "\u03a3", "\u03c3"))
+    counted = count(docs)
+    holding = count(docs.where(reduce(Column.__or__, [F.contains(small, F.lit(t)) for t in terms])))
     stats = counted.agg(F.count("*").cast("double").alias("_n"), F.greatest(F.coalesce(F.avg("_dl"), F.lit(1.0)), F.lit(1.0)).alias("_avgdl"),
                         *[F.sum((F.col(f"_t{i}") > 0).cast("double")).alias(f"_df{i}") for i in range(len(terms))])
     parts = [F.lit(float(counts[t])) * F.when(F.col(f"_t{i}") > 0, term_score(F.col(f"_t{i}"), F.col(f"_df{i}"), F.col("_dl"), F.col("_n"), F.col("_avgdl"))).otherwise(0.0)
@@ -81,7 +89,7 @@ def text_top_k(docs: DataFrame, query: str, k: int, *, where: Column | None = No
     total = parts[0]
     for p in parts[1:]:
         total = total + p
-    scored = counted.where(" or ".join(f"_t{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
+    scored = holding.where(" or ".join(f"_t{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
     return (scored.select(*keep, F.round(total, digits).alias("score")).where("score > 0").select(*out).orderBy(F.desc("score"), id_col).limit(k))
 
 
