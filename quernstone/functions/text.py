@@ -6,17 +6,28 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: A word is a maximal run of alphabetic or numeric code points.
 WORD = r"[\p{IsAlphabetic}\p{N}]+"
+# Fixed values. Capital sigma's small form depends on its place when a whole string is
+# lower-cased; capital I with dot becomes a letter and a mark, which is no letter. A code point of
+# private use stands in for the latter until the words are cut.
+_SIGMA, _SMALL_SIGMA, _DOTTED, _SMALL_DOTTED, _STAND_IN = "\u03a3", "\u03c3", "\u0130", "i\u0307", "\ue130"
 
 
 def words(text: Column) -> Column:
     """Lower-cased words of ``text``; an empty array for null.
 
-    Cutting comes before lower-casing: the small form of a letter may hold a mark that is no
-    letter. Capital sigma is replaced first, as lower-casing a whole string would choose its
-    form by position while the rule here is one letter at a time.
+    The result is that of cutting first and lower-casing letter by letter, but the text is
+    lower-cased as a whole, without a lambda over its words; the two letters for which that would
+    differ are replaced before.
     """
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-    return F.transform(runs, lambda w: F.lower(F.translate(w, "\u03a3", "\u03c3")))
+    safe = F.lower(F.translate(F.coalesce(text, F.lit("")), _STAND_IN + _SIGMA + _DOTTED, " " + _SMALL_SIGMA + _STAND_IN))
+    runs = F.regexp_extract_all(safe, F.lit(WORD.replace("]", _STAND_IN + "]")), F.lit(0))
+    back = F.transform(runs, lambda w: F.replace(w, F.lit(_STAND_IN), F.lit(_SMALL_DOTTED)))
+    return F.when(F.contains(safe, F.lit(_STAND_IN)), back).otherwise(runs)
+
+
+def word_count(text: Column) -> Column:
+    """How many words ``words`` would give."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD))
 
 
 def with_positions(df: DataFrame, text: str, *keys: str) -> DataFrame:

@@ -63,9 +63,13 @@ def norm(v: Column, precision: str = "double") -> Column:
 
 
 def is_finite(v: Column) -> Column:
-    """True if the vector is there and no element is null, NaN or infinite."""
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(math.inf)))
-    return F.coalesce(~bad, F.lit(False))
+    """True if the vector is there and no element is null, NaN or infinite.
+
+    Without a lambda: the search for infinity gives null, not false, if an element is null; NaN
+    counts as the greatest element.
+    """
+    sound = ~F.array_contains(v, F.lit(math.inf)) & (F.array_min(v) > -math.inf) & ~F.isnan(F.array_max(v))
+    return F.coalesce(F.when(F.size(v) == 0, F.lit(True)).otherwise(sound), F.lit(False))
 
 
 def query_literal(query: Sequence[float], precision: str = "double") -> Column:

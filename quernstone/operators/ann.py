@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -12,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..errors import SchemaError, StorageError
-from ..functions.vector import Metric, check_query, dot, norm, squared_distance
+from ..functions.vector import Metric, check_query
 from ..sources.files import Files
-from .topk import batch_matrix, check_k, exact_top_k
+from .topk import QUERY_BYTES, batch_matrix, best_positions, check_k, exact_top_k
 
 
 @dataclass(frozen=True)
@@ -176,35 +177,65 @@ class IvfIndex:
         near = [-1, *map(int, nearest(q[None], self.centres, self.probes_for(k, probes, pool))[0])]
         return self.lists().where(F.col("list_id").isin(near)).drop("list_id")
 
-    def batch_search(self, queries: DataFrame, k: int, *, qid_col: str = "qid", qvector_col: str = "qvector", probes: int | None = None, pool: int | None = None, digits: int = 9) -> DataFrame:
+    def batch_search(self, queries: DataFrame, k: int, *, qid_col: str = "qid", qvector_col: str = "qvector", probes: int | None = None, pool: int | None = None, digits: int = 9, query_bytes: int = QUERY_BYTES) -> DataFrame:
         """For each query row its ``k`` best among the rows of its nearest lists: qid, rank, id, score.
 
-        Queries and rows meet in a join on the list, so only probed lists are scored and no side
-        need be small. A query's or list's share of the work is bounded by the probes and by the
-        list sizes. Queries that are null, of another length or (cosine) zero give no rows.
+        Queries go to the tasks in blocks of at most ``query_bytes``; each block reads the lists that
+        it probes, once, and every list is multiplied with its own queries. Only ``k`` rows per task
+        and query are shuffled. Queries that are null, of another length or (cosine) zero give no
+        rows.
         """
         check_k(k)
-        n, centres, dim, unit = self.probes_for(k, probes, pool), self.centres, self.dim, self.metric is Metric.COSINE
-
-        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                v, fits = batch_matrix(b.column("qv"), dim)
-                ok = np.isfinite(v).all(1) & ((v != 0).any(1) if unit else True)
-                v, fits = v[ok], fits[ok]
-                if not len(v):
-                    continue
-                near = nearest(v / np.sqrt((v * v).sum(1, keepdims=True)) if unit else v, centres, n)
-                near = np.concatenate((near, np.full((len(v), 1), -1)), 1)
-                row = np.repeat(np.arange(len(v)), near.shape[1])
-                yield pa.RecordBatch.from_arrays([b.column("qid").take(pa.array(fits[row])), b.column("qv").take(pa.array(fits[row])), pa.array(near.ravel().astype(np.int32))], ["qid", "qv", "list_id"])
-
+        n, dim, unit, metric = self.probes_for(k, probes, pool), self.dim, self.metric is Metric.COSINE, self.metric
         asked = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvector_col).cast("array<float>").alias("qv")).where(F.col("qid").isNotNull() & (F.size("qv") == dim)).dropDuplicates(["qid"])
-        met = asked.mapInArrow(route, "qid long, qv array<float>, list_id int").join(self.lists(), "list_id")
-        a, q = F.col("vector"), F.col("qv")
-        raw = -squared_distance(a, q) if not unit else F.when((norm(a) > 0) & (norm(q) > 0), dot(a, q) / (norm(a) * norm(q)))
-        scored = met.where(F.size("vector") == dim).select("qid", "id", F.round(raw, digits).alias("score")).where(F.col("score").isNotNull() & ~F.isnan("score"))
+        blocks = max(1, -(-asked.count() * dim * 8 // query_bytes))
+        parts = []
+        for b in range(blocks):
+            table = asked.where(F.pmod(F.hash("qid"), F.lit(blocks)) == b).toArrow()  # at most about query_bytes
+            q, fits = batch_matrix(table["qv"], dim)
+            good = np.isfinite(q).all(1) & ((q != 0).any(1) if unit else True)
+            ids, q = table["qid"].to_numpy()[fits][good], q[good]
+            near = nearest(q / np.sqrt((q * q).sum(1, keepdims=True)) if unit else q, self.centres, n) if len(q) else np.empty((0, 0), np.int64)
+            by_list: dict[int, list[int]] = {-1: list(range(len(q)))}
+            for i, row in enumerate(near.tolist()):
+                for at in row:
+                    by_list.setdefault(at, []).append(i)
+            rows = self.lists().where(F.col("list_id").isin(list(by_list))).select("list_id", F.col("id").cast("long").alias("id"), F.col("vector").alias("v"))
+            parts.append(rows.mapInArrow(_list_scorer(ids, q, by_list, k, metric, dim, digits), "qid long, id long, score double"))
         w = W.partitionBy("qid").orderBy(F.desc("score"), "id")
-        return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("qid", "rank", "id", "score")
+        return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("qid", "rank", "id", "score")
+
+
+def _list_scorer(qids: np.ndarray, q: np.ndarray, by_list: dict[int, list[int]], k: int, metric: Metric, dim: int, digits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        norms = (q * q).sum(1)
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            x, fits = batch_matrix(b.column("v"), dim)
+            ok = np.isfinite(x).all(1) & ((x != 0).any(1) if metric is Metric.COSINE else True)
+            x, fits = x[ok], fits[ok]
+            ids, lists = (b.column(c).to_numpy(zero_copy_only=False)[fits] for c in ("id", "list_id"))
+            for at in np.unique(lists).tolist():
+                mine = np.flatnonzero(lists == at)
+                asked = np.array(by_list[at], np.int64)
+                s = q[asked] @ x[mine].T
+                lengths = (x[mine] * x[mine]).sum(1)
+                s = s / np.sqrt(norms[asked][:, None] * lengths) if metric is Metric.COSINE else 2 * s - norms[asked][:, None] - lengths
+                s = np.round(s, digits)
+                for i, row in zip(asked.tolist(), s):
+                    top = best_positions(ids[mine], row, k)
+                    old = best.get(i)
+                    new = (ids[mine][top], row[top])
+                    if old is not None:
+                        new = (np.concatenate((old[0], new[0])), np.concatenate((old[1], new[1])))
+                        top = best_positions(*new, k)
+                        new = (new[0][top], new[1][top])
+                    best[i] = new
+        if best:
+            sizes = [len(v[0]) for v in best.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[list(best)], sizes)), pa.array(np.concatenate([v[0] for v in best.values()])), pa.array(np.concatenate([v[1] for v in best.values()]))], ["qid", "id", "score"])
+
+    return run
 
 
 def indexed_search(index: IvfIndex, tail: DataFrame, query: Sequence[float], k: int, metric: Metric | str, *, live_op: str = "upsert", probes: int | None = None, pool: int | None = None) -> DataFrame:

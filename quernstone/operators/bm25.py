@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import term_counts, words
+from ..functions.text import term_counts, word_count, words
 from .topk import check_k
 
 # Term saturation and length weight of the score.
@@ -30,7 +30,7 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
 
 def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: n (documents, with or without words) and avgdl (words each, at least 1)."""
-    n, dl = F.count("*"), F.sum(F.size(words(F.col(text_col))))
+    n, dl = F.count("*"), F.sum(word_count(F.col(text_col)))
     return docs.agg(n.alias("n"), F.greatest(F.coalesce(dl / n, F.lit(1.0)), F.lit(1.0)).alias("avgdl"))
 
 
@@ -50,10 +50,6 @@ def query_words(spark, query: str) -> Counter:
     return Counter(spark.range(1).select(words(F.lit(query)).alias("w")).first().w)
 
 
-def _times(array: str, term: str) -> Column:
-    return F.size(F.filter(array, lambda x: x == F.lit(term))).cast("double")
-
-
 def text_top_k(docs: DataFrame, query: str, k: int, *, where: Column | None = None, id_col: str = "id", text_col: str = "text",
                seq_col: str | None = "seq", digits: int = 9) -> DataFrame:
     """The ``k`` documents of highest BM25 score above 0: id, score[, seq]; equal score: smaller id.
@@ -61,8 +57,8 @@ def text_top_k(docs: DataFrame, query: str, k: int, *, where: Column | None = No
     A query word counts as often as it is in the query. ``where`` restricts documents before N, df
     and avgdl are taken. An empty query, ``k`` 0 or an empty table gives an empty result.
 
-    Two scans, no shuffle of documents: one brings the statistics, a single row; the other cuts
-    only texts that contain a query word as a string and ranks them. For many queries over the same
+    Three scans, no shuffle of documents: one counts documents and words; the others cut only texts
+    that contain a query word as a string, for df and for the ranking. For many queries over the same
     rows keep the postings and use ``text_top_k_from_postings``.
     """
     check_k(k)
@@ -74,22 +70,18 @@ def text_top_k(docs: DataFrame, query: str, k: int, *, where: Column | None = No
     terms = sorted(counts)
     if not terms or not k:
         return docs.select(*keep, F.lit(0.0).alias("score")).select(*out).limit(0)
-    tf = [_times("_w", t).alias(f"_t{i}") for i, t in enumerate(terms)]
-
-    def count(rows: DataFrame) -> DataFrame:
-        return rows.select(*keep, words(F.col(text_col)).alias("_w")).select(*keep, F.size("_w").cast("double").alias("_dl"), *tf)
-
     small = F.lower(F.translate(F.col(text_col), "\u03a3", "\u03c3"))
-    counted = count(docs)
-    holding = count(docs.where(reduce(Column.__or__, [F.contains(small, F.lit(t)) for t in terms])))
-    stats = counted.agg(F.count("*").cast("double").alias("_n"), F.greatest(F.coalesce(F.avg("_dl"), F.lit(1.0)), F.lit(1.0)).alias("_avgdl"),
-                        *[F.sum((F.col(f"_t{i}") > 0).cast("double")).alias(f"_df{i}") for i in range(len(terms))])
+    holding = docs.where(reduce(Column.__or__, [F.contains(small, F.lit(t)) for t in terms])).select(*keep, words(F.col(text_col)).alias("_w"))
+    tf = [(F.size("_w") - F.size(F.array_remove("_w", t))).cast("double").alias(f"_t{i}") for i, t in enumerate(terms)]
+    counted = holding.select(*keep, F.size("_w").cast("double").alias("_dl"), *tf)
+    df = counted.agg(*[F.coalesce(F.sum((F.col(f"_t{i}") > 0).cast("double")), F.lit(0.0)).alias(f"_df{i}") for i in range(len(terms))])
+    stats = corpus_stats(docs, text_col).select(F.col("n").cast("double").alias("_n"), F.col("avgdl").alias("_avgdl")).crossJoin(df)  # one row each
     parts = [F.lit(float(counts[t])) * F.when(F.col(f"_t{i}") > 0, term_score(F.col(f"_t{i}"), F.col(f"_df{i}"), F.col("_dl"), F.col("_n"), F.col("_avgdl"))).otherwise(0.0)
              for i, t in enumerate(terms)]
     total = parts[0]
     for p in parts[1:]:
         total = total + p
-    scored = holding.where(" or ".join(f"_t{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
+    scored = counted.where(" or ".join(f"_t{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
     return (scored.select(*keep, F.round(total, digits).alias("score")).where("score > 0").select(*out).orderBy(F.desc("score"), id_col).limit(k))
 
 

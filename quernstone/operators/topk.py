@@ -45,7 +45,7 @@ def exact_top_k(df: DataFrame, query: Sequence[float], k: int, metric: Metric |
     return scored.select(*out).orderBy(F.desc("score"), id_col).limit(check)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+def best_positions(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best by score descending, id ascending."""
     if len(scores) > 4 * k:
         edge = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -124,9 +124,9 @@ def _scorer(block: tuple[np.ndarray, np.ndarray], k: int, metric: Metric, dim: i
                     s = 2 * s - norms[a : a + 256, None] ** 2 - (x * x).sum(1)
                 s = np.round(s, digits)
                 for i, row in enumerate(s, a):
-                    best = _best(ids, row, k)
+                    best = best_positions(ids, row, k)
                     all_ids, all_scores = np.concatenate((ids_of[i], ids[best])), np.concatenate((scores_of[i], row[best]))
-                    best = _best(all_ids, all_scores, k)
+                    best = best_positions(all_ids, all_scores, k)
                     ids_of[i], scores_of[i] = all_ids[best], all_scores[best]
         if len(qids):
             sizes = [len(x) for x in ids_of]

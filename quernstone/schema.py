@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .errors import SchemaError
-from .functions.vector import Metric
+from .functions.vector import Metric, is_finite
 from .plans.predicate import META_TYPE, kind_of
 
 UPSERT, DELETE = "upsert", "delete"
@@ -108,12 +108,11 @@ def violations(staged: DataFrame, settings: Settings) -> tuple[dict[str, int], i
     """
     up = F.col("op") == UPSERT
     size = F.size("vector")
-    finite = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf))
     dims = staged.agg(F.min(F.when(up, size)).alias("lo"), F.max(F.when(up, size)).alias("hi"),
                       F.sum(F.col("id").isNull().cast("long")).alias("null id"),
                       F.sum((F.col("id").cast("string").startswith("-") & F.lit(settings.id_kind == "int")).cast("long")).alias("negative id"),
                       F.sum((up & (F.col("vector").isNull() | (size < 1) | (size > MAX_DIM))).cast("long")).alias("missing, empty or too long vector"),
-                      F.sum((up & ~F.coalesce(finite, F.lit(False))).cast("long")).alias("non-finite vector element"),
+                      F.sum((up & ~is_finite(F.col("vector"))).cast("long")).alias("non-finite vector element"),
                       F.sum((up & (F.isnan("norm") | (F.abs("norm") == math.inf))).cast("long")).alias("non-finite norm")).first().asDict()
     lo, hi = dims.pop("lo"), dims.pop("hi")
     want = settings.dim if settings.dim is not None else hi
