@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import term_counts, word_count, words
+from .bounds import spread
 from .topk import check_k
 
 # Term saturation and length weight of the score.
@@ -25,13 +26,13 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
     Null, empty and wordless texts give no rows. A document is one row; repeated ids are the
     caller's to resolve. Counting happens within the row, so nothing is shuffled per token.
     """
-    return term_counts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "id").select("id", "term", "tf", "dl")
+    return term_counts(spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "text", "id").select("id", "term", "tf", "dl")
 
 
 def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: n (documents, with or without words) and avgdl (words each, at least 1)."""
     n, dl = F.count("*"), F.sum(word_count(F.col(text_col)))
-    return docs.agg(n.alias("n"), F.greatest(F.coalesce(dl / n, F.lit(1.0)), F.lit(1.0)).alias("avgdl"))
+    return spread(docs.select(text_col)).agg(n.alias("n"), F.greatest(F.coalesce(dl / n, F.lit(1.0)), F.lit(1.0)).alias("avgdl"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -47,7 +48,7 @@ def term_score(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) ->
 
 def query_words(spark, query: str) -> Counter:
     """Words of the query with their repeats, cut by the same rule as the documents."""
-    return Counter(spark.range(1).select(words(F.lit(query)).alias("w")).first().w)
+    return Counter(spark.sql("select 1").select(words(F.lit(query)).alias("w")).first().w)
 
 
 def text_top_k(docs: DataFrame, query: str, k: int, *, where: Column | None = None, id_col: str = "id", text_col: str = "text",
@@ -71,7 +72,7 @@ def text_top_k(docs: DataFrame, query: str, k: int, *, where: Column | None = No
     if not terms or not k:
         return docs.select(*keep, F.lit(0.0).alias("score")).select(*out).limit(0)
     small = F.lower(F.translate(F.col(text_col), "\u03a3", "\u03c3"))
-    holding = docs.where(reduce(Column.__or__, [F.contains(small, F.lit(t)) for t in terms])).select(*keep, words(F.col(text_col)).alias("_w"))
+    holding = spread(docs.select(*keep, text_col)).where(reduce(Column.__or__, [F.contains(small, F.lit(t)) for t in terms])).select(*keep, words(F.col(text_col)).alias("_w"))
     tf = [(F.size("_w") - F.size(F.array_remove("_w", t))).cast("double").alias(f"_t{i}") for i, t in enumerate(terms)]
     counted = holding.select(*keep, F.size("_w").cast("double").alias("_dl"), *tf)
     df = counted.agg(*[F.coalesce(F.sum((F.col(f"_t{i}") > 0).cast("double")), F.lit(0.0)).alias(f"_df{i}") for i in range(len(terms))])

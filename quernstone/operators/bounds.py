@@ -41,3 +41,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(scratch_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint()
+
+
+#: Inputs up to this size may be dealt out to idle cores.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores if it is a small scan that would keep most of them idle.
+
+    A file of one row group is one task, however much work its rows cause. Only plain scans
+    (projections and filters of stored files) with at most half as many partitions as there are
+    cores, and of at most a gigabyte, are touched: at scale nothing is shuffled.
+    """
+    query = df._jdf.queryExecution()
+    node = query.optimizedPlan()
+    if int(str(node.stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not node.nodeName().startswith("Relation") and node.nodeName() != "LogicalRelation" or query.toRdd().getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores)

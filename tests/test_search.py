@@ -181,3 +181,16 @@ def test_metric_names():
     for bad in ("x", 7, None, True):
         with pytest.raises(SchemaError):
             Metric.of(bad)
+
+
+def test_spread_touches_small_scans_only(spark, tmp_path):
+    from quernstone.operators.bounds import spread
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(1000).repartition(8).write.parquet(str(tmp_path / "eight"))
+    one, eight = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "eight"))
+    assert spread(one.where("id > 5").select("id")).rdd.getNumPartitions() == 8
+    assert sorted(r.id for r in spread(one).collect()) == list(range(1000))
+    assert "Exchange" not in spread(eight)._jdf.queryExecution().executedPlan().toString()
+    grouped = one.groupBy("id").count()
+    assert spread(grouped) is grouped and spread(one.limit(0)).count() == 0
