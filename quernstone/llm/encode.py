@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.bounds import spread
+
 #: Byte length up to which a piece is merged in the array; longer ones use a heap.
 SHORT = 48
 #: Pieces that a worker remembers.
@@ -193,4 +195,5 @@ def encode(documents: DataFrame, vocabulary: str, pattern: str, *, id_col: str =
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "ids"])
 
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return spread(rows).mapInArrow(run, "doc_id long, ids array<int>")

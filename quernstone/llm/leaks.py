@@ -24,6 +24,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.bounds import spread
+
 #: The word rule of the text functions, in this module's regular expressions.
 WORD = r"[\p{Alphabetic}\p{N}]+"
 #: Places of the walk that make up a key.
@@ -166,6 +168,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, window: int = 10, ma
     if window < 1 or max_edit < 0 or max_edit >= window or not 0 < target_recall < 1:
         raise ValueError("window is at least 1, max_edit below it, target_recall in (0, 1)")
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    docs = spread(docs)
     given = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("item_id is not null and text is not null").distinct()
     tables = tables_for(window, max_edit, target_recall, seed)
     chars = given.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]

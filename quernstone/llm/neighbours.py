@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.vector import is_finite
-from ..operators.bounds import broadcast_if_small, checkpoint
+from ..operators.bounds import broadcast_if_small, checkpoint, spread
 from ..operators.topk import batch_matrix
 
 #: Pivots are drawn from the data; more than this many are never needed on a driver.
@@ -74,7 +74,7 @@ def similar_pairs(records: DataFrame, *, dim: int, k: int = 10, min_cosine: floa
     if not len(pivots):
         return spark.createDataFrame([], "external_id_a long, external_id_b long")
     radius = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
-    placed = rows.select("id", "v").mapInArrow(_router(pivots, _labels(spark, len(pivots)), dim, k, radius, relax), "shard int, home boolean, reach float, id long, v array<float>")
+    placed = spread(rows.select("id", "v")).mapInArrow(_router(pivots, _labels(spark, len(pivots)), dim, k, radius, relax), "shard int, home boolean, reach float, id long, v array<float>")
     found = placed.repartition(len(pivots), "shard").groupBy("shard").applyInArrow(_searcher(dim, k, min_cosine, relax, trees, leaf, seed), "a long, b long, c double")
     if extra is not None:
         found = found.unionByName(extra.where(F.col("a") != F.col("b")))

@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.bounds import checkpoint
+from ..operators.bounds import checkpoint, spread
 
 # Frequent function words of the languages served.
 FUNCTION_WORDS = {
@@ -184,7 +184,7 @@ def spam_shares(documents: DataFrame, *, cutoff: float = 20.5, directed: float =
     if cutoff <= 0 or not 0 <= directed <= 1 or rounds < 1:
         raise ValueError("cutoff is positive, directed lies in [0, 1], rounds is at least 1")
     given = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("doc_id is not null")
-    rows = checkpoint(given.mapInArrow(_features_of, _ROW))
+    rows = checkpoint(spread(given).mapInArrow(_features_of, _ROW))
     fits = _starting_fits(rows, least_passages)
     for _ in range(rounds):
         fits = _tightened(rows, fits, least_passages)
