@@ -51,17 +51,16 @@ def similar_pairs(records: DataFrame, *, dim: int, k: int = 10, min_cosine: floa
         raise ValueError("min_cosine lies in (0, 1], relax in [0, 1]; k, trees and shard_rows are at least 1, leaf 2")
     spark = records.sparkSession
     rows = records.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim))
-    rows = rows.withColumn("h", F.xxhash64("v"))
+    rows = rows.where(is_finite(F.col("v")) & ((F.array_max("v") != 0) | (F.array_min("v") != 0))).withColumn("h", F.xxhash64("v"))
     groups = rows.groupBy("h").agg(F.count("*").alias("n"))
-    n, hot = groups.agg(F.sum("n"), F.sum((F.col("n") > k + 1).cast("long"))).first()
+    n, hot = groups.agg(F.count("*"), F.sum((F.col("n") > k + 1).cast("long"))).first()  # different vectors
     if not n:
         return spark.createDataFrame([], "external_id_a long, external_id_b long")
 
     extra = None
     if hot:  # copies of one vector beyond the k + 1 smallest ids
         over = broadcast_if_small(groups.where(F.col("n") > k + 1).select("h"), 32)
-        sound = is_finite(F.col("v")) & F.exists("v", lambda x: x != 0)
-        many = rows.join(over, "h", "left_semi").where(sound).select("h", "id").distinct()
+        many = rows.join(over, "h", "left_semi").select("h", "id").distinct()
         order = W.partitionBy("h").orderBy("id")
         first = checkpoint(many.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("h", "id"))
         first = broadcast_if_small(first, 64)
@@ -99,6 +98,8 @@ def _pivots(rows: DataFrame, wanted: int, n: int, dim: int, seed: int) -> np.nda
     share = min(slots, int(slots * min(1.0, (wanted + 4 * wanted**0.5 + 8) / n)) + 1)
     sample = rows.where(F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(slots)) < share).select("h", "v").dropDuplicates(["h"])
     table = sample.orderBy("h").limit(4 * wanted + 64).toArrow()  # bounded by MAX_PIVOTS
+    if not table.num_rows:
+        table = rows.select("v").limit(1).toArrow()
     x, _ = batch_matrix(table["v"], dim, np.float32)
     u, _ = _unit(x)
     return np.unique(u.astype(np.float32), axis=0)[:wanted] if len(u) <= wanted else u[np.sort(np.random.default_rng(seed).permutation(len(u))[:wanted])].astype(np.float32)

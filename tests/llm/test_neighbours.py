@@ -77,6 +77,13 @@ def test_a_third_of_all_rows_is_one_vector(spark):
     assert found(spark, every, dim=8, k=5, relax=1.0, shard_rows=60, leaf=8) == brute(every, 8, 5, 0.9)
 
 
+def test_few_good_vectors_among_copies_and_faulty_ones(spark):
+    nan = float("nan")
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(600)] + [(1000 + i, [float(i), nan, 1.0]) for i in range(400)]
+    rows += [(5000 + i, [0.01 * i, 1.0, 0.0]) for i in range(3)]
+    assert found(spark, rows, dim=3, k=3, relax=1.0) == brute(rows, 3, 3, 0.9)
+
+
 def test_dense_ball_of_different_vectors(spark):
     rng = np.random.default_rng(5)
     ball = np.array([1.0] + [0.0] * 15) + 0.01 * rng.standard_normal((400, 16))
