@@ -92,7 +92,15 @@ def p5_found(spark, folder):
     return best_items(ranked, 10, by="to_anti").select("query_id", "external_id")
 
 
-@query()
+@query(f"""with {_HITS}, e as (select query_id, path, quantile_disc(score, 0.05) as lo, quantile_disc(score, 0.95) as hi from h group by all),
+  c as (select query_id, path, external_id, greatest(least(score, hi), lo) as clip from h join e using (query_id, path)),
+  n as (select query_id, path, sqrt(sum(clip * clip)) as norm, min(clip) as lo, max(clip) as hi from c group by all),
+  m as (select query_id, path, case when norm > 0 then norm else 1 end as len, lo / len as worst, hi / len as best from n),
+  a as (select query_id, sum(pow(best - worst, 2)) as every from m group by all),
+  v as (select query_id, external_id, sum(pow(clip / len - worst, 2)) as up, sum(pow(best - worst, 2) - pow(best - clip / len, 2)) as nearer from c join m using (query_id, path) group by all),
+  d as (select query_id, external_id, sqrt(up) as ta, sqrt(case when every - nearer > every * 1e-12 then every - nearer else 0 end) as ti from v join a using (query_id)),
+  x as (select query_id, external_id, round(case when ta + ti > 0 then ta / (ta + ti) else 0 end, 9) as closeness from d)
+  select query_id, external_id, closeness, row_number() over (partition by query_id order by closeness desc, external_id) as rank from x qualify rank <= 10""")
 def p5_ideal_point(spark, folder):
     ranked = ideal_point(table(spark, folder, "hits"))
     return best_items(ranked, 10).select("query_id", "external_id", F.round("closeness", 9).alias("closeness"), F.col("rank").cast("long").alias("rank"))

@@ -85,7 +85,8 @@ def ideal_point(hits: DataFrame, *, scale: str = "winsor", power: int = 2, low:
         F.sum(part(F.col("value") - F.col("anti"))).alias("_up"),
         F.sum(part(F.col("ideal") - F.col("anti")) - part(F.col("ideal") - F.col("value"))).alias("_nearer"))
     root = (lambda c: F.sqrt(F.greatest(c, F.lit(0.0)))) if power == 2 else (lambda c: F.greatest(c, F.lit(0.0)))
-    both = moved.join(whole, "query_id").select("query_id", "external_id", root(F.col("_up")).alias("to_anti"), root(F.col("_all") - F.col("_nearer")).alias("to_ideal"))
+    left = F.when(F.col("_all") - F.col("_nearer") > F.col("_all") * 1e-12, F.col("_all") - F.col("_nearer")).otherwise(0.0)  # not the rounding of two equal sums
+    both = moved.join(whole, "query_id").select("query_id", "external_id", root(F.col("_up")).alias("to_anti"), root(left).alias("to_ideal"))
     reach = F.col("to_anti") + F.col("to_ideal")
     return both.withColumn("closeness", F.when(reach > 0, F.col("to_anti") / reach).otherwise(0.0))
 
