@@ -35,6 +35,13 @@ from ..operators.topk import batch_matrix
 #: Pivots are drawn from the data; more than this many are never needed on a driver.
 MAX_PIVOTS = 65_536
 
+#: Distances below this are taken from differences in double precision: from a cosine in single
+#: precision they would be off by as much as they are long.
+CLOSE = 0.05
+
+#: Pairs that a search holds before it keeps only the best of each row.
+MOST_PAIRS = 1 << 22
+
 
 def similar_pairs(records: DataFrame, *, dim: int, k: int = 10, min_cosine: float = 0.9, relax: float = 0.07, trees: int = 5, leaf: int = 128,
                   shard_rows: int = 25_000, seed: int = 17, id_col: str = "external_id", vector_col: str = "vector") -> DataFrame:
@@ -121,14 +128,17 @@ def _router(pivots: np.ndarray, labels: np.ndarray, dim: int, k: int, radius: fl
             if not len(u):
                 continue
             ids, v = b.column("id").to_numpy(zero_copy_only=False)[fits][good], v[good]
-            u = u.astype(np.float32)
+            x = u.astype(np.float32)
             step = max(16, (1 << 23) // len(pivots))  # a bounded matrix, however many pivots
             for s in range(0, len(u), step):
-                d = np.sqrt(np.maximum(0, 2 - 2 * (u[s : s + step] @ pivots.T)))
+                d = np.sqrt(np.maximum(0, 2 - 2 * (x[s : s + step] @ pivots.T))).astype(np.float64)
+                i, j = np.nonzero(d < CLOSE)
+                d[i, j] = _distances(u[s : s + step], pivots, i, j)
                 home = d.argmin(1)
-                reach = np.full(len(d), radius, np.float32)
+                reach = np.full(len(d), radius)
                 if len(pivots) > k:
-                    reach = np.minimum(reach, np.partition(d, k, axis=1)[:, k] + np.float32(1e-3))
+                    bound = np.partition(d, k, axis=1)[:, k]
+                    reach = np.minimum(reach, bound + np.where(bound < CLOSE, 2e-6, 1e-3))  # rounding, also of the cosines that are compared
                 row, cell = np.nonzero(d <= (d[np.arange(len(d)), home] + 2 * relax * reach)[:, None])
                 out = v[s : s + step][row]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(row) + 1) * dim, dim, dtype=np.int32)), pa.array(out.ravel()))
@@ -151,39 +161,69 @@ def _searcher(dim: int, k: int, min_cosine: float, relax: float, trees: int, lea
 
 def search(u: np.ndarray, ids: np.ndarray, members: np.ndarray, reach: np.ndarray, k: int, min_cosine: float, relax: float, trees: int, leaf: int, seed: int):
     """All rows of ``u`` as queries against the rows ``members``: ids a and b and their cosine, at
-    most the k best b of each a. ``reach`` bounds how far the wanted neighbours of a row are."""
+    most the k best b of each a. ``reach`` bounds how far the wanted neighbours of a row are.
+    ``ids`` and ``members`` ascend."""
     x = np.ascontiguousarray(u, dtype=np.float32)
     rng = np.random.default_rng(seed)
     slack = (np.asarray(reach) * min(relax, 1.0)).astype(np.float32)
-    keys = []
+    key, held = [np.empty(0, np.int64)], 0
     for _ in range(1 if relax >= 1 or len(members) <= leaf else trees):
-        q, m = _one_tree(x, members, slack, k, min_cosine, leaf, rng)
-        keys.append(np.unique(np.minimum(q, m).astype(np.int64) * len(x) + np.maximum(q, m)))
-    key = np.unique(np.concatenate(keys))
-    q, m = key // len(x), key % len(x)
-    c = np.round(np.einsum("ij,ij->i", u[q], u[m]), 12)  # exact, in double precision
+        for q, m in _one_tree(u, x, members, slack, k, min_cosine, leaf, rng):
+            key.append(np.minimum(q, m).astype(np.int64) * len(x) + np.maximum(q, m))
+            held += len(q)
+            if held > MOST_PAIRS:
+                key = [np.unique(np.concatenate(key))]
+                if len(key[0]) > MOST_PAIRS // 2:
+                    q, m, _ = _best(u, key[0], k, min_cosine)
+                    key = [np.unique(np.minimum(q, m) * len(x) + np.maximum(q, m))]
+                held = max(0, len(key[0]) - len(x) * k)  # what can't be less doesn't count
+    q, m, c = _best(u, np.unique(np.concatenate(key)), k, min_cosine)
+    return ids[q], ids[m], c
+
+
+def _best(u: np.ndarray, key: np.ndarray, k: int, min_cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of different pairs, coded as smaller * len(u) + larger place, the k best of every place in
+    double precision, equal cosines by place."""
+    q, m = key // len(u), key % len(u)
+    c = np.empty(len(q))
+    for s in range(0, len(q), 1 << 16):
+        c[s : s + (1 << 16)] = np.round(np.einsum("ij,ij->i", u[q[s : s + (1 << 16)]], u[m[s : s + (1 << 16)]]), 12)
     keep = (c >= min_cosine) & (q != m)
     q, m, c = q[keep], m[keep], c[keep]
     q, m, c = np.concatenate((q, m)), np.concatenate((m, q)), np.concatenate((c, c))
-    order = np.lexsort((ids[m], -c, q))
+    order = np.lexsort((m, -c, q))
     q, m, c = q[order], m[order], c[order]
     starts = np.flatnonzero(np.diff(q, prepend=-1))
-    rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
-    top = rank < k
-    return ids[q[top]], ids[m[top]], c[top]
+    top = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q)))) < k
+    return q[top], m[top], c[top]
+
+
+def _distances(u: np.ndarray, points: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances between the rows i of ``u`` and j of ``points``, by differences in double precision."""
+    out = np.empty(len(i))
+    for s in range(0, len(i), 1 << 14):
+        d = u[i[s : s + (1 << 14)]] - points[j[s : s + (1 << 14)]]
+        out[s : s + (1 << 14)] = np.sqrt(np.einsum("ij,ij->i", d, d))
+    return out
+
+
+def _to_vantage(u: np.ndarray, x: np.ndarray, rows: np.ndarray, vantage: int) -> np.ndarray:
+    d = np.sqrt(np.maximum(0, 2 - 2 * (x[rows] @ x[vantage]))).astype(np.float64)
+    near = np.flatnonzero(d < CLOSE)
+    d[near] = _distances(u, u[vantage][None], rows[near], np.zeros(len(near), np.int64))
+    return d
 
 
-def _one_tree(x: np.ndarray, members: np.ndarray, slack: np.ndarray, k: int, min_cosine: float, leaf: int, rng) -> tuple[np.ndarray, np.ndarray]:
-    """Builds one tree over ``members`` and sends all rows down it together."""
-    found_q, found_m = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+def _one_tree(u: np.ndarray, x: np.ndarray, members: np.ndarray, slack: np.ndarray, k: int, min_cosine: float, leaf: int, rng) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Builds one tree over ``members``, sends all rows down it together and yields pairs."""
     stack = [(members, np.arange(len(x)))]
     while stack:
         m, q = stack.pop()
         if not len(m) or not len(q):
             continue
         if len(m) > leaf:
-            vantage = x[m[rng.integers(len(m))]]
-            dm, dq = (np.sqrt(np.maximum(0, 2 - 2 * (x[i] @ vantage))) for i in (m, q))
+            vantage = m[rng.integers(len(m))]
+            dm, dq = (_to_vantage(u, x, i, vantage) for i in (m, q))
             mid = np.partition(dm, len(dm) // 2)[len(dm) // 2]
             inner = dm < mid
             if inner.any():  # else half of them lie at one distance: no sphere can divide them
@@ -192,20 +232,25 @@ def _one_tree(x: np.ndarray, members: np.ndarray, slack: np.ndarray, k: int, min
                 continue
         for s in range(0, len(m), 2048):
             for t in range(0, len(q), 1024):
-                i, j = _close(x[q[t : t + 1024]] @ x[m[s : s + 2048]].T, min_cosine, 4 * k + 1)
-                found_q.append(q[t + i])
-                found_m.append(m[s + j])
-    return np.concatenate(found_q), np.concatenate(found_m)
-
-
-def _close(s: np.ndarray, min_cosine: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the cosines reach the minimum; of rows with very many such places the highest ones,
-    four times as many as are wanted, since single precision can't order the rest for sure."""
-    near = s >= np.float32(min_cosine - 1e-5)
-    many = near.sum(1) > most
-    if not many.any():
-        return np.nonzero(near)
-    best = np.argpartition(-s[many], most - 1, axis=1)[:, :most]
-    near[many] = False
-    near[np.flatnonzero(many)[:, None], best] = True
+                i, j = _close(u, x, q[t : t + 1024], m[s : s + 2048], k, min_cosine)
+                yield q[t + i], m[s + j]
+
+
+def _close(u: np.ndarray, x: np.ndarray, q: np.ndarray, m: np.ndarray, k: int, min_cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where the cosines reach the minimum. Of rows with very many such places those that rounding
+    may have put below the k-th best; if these are many too, the best in double precision, equal
+    ones by place. One more than k, as a row may meet itself."""
+    s = x[q] @ x[m].T
+    margin = (x.shape[1] + 4) * 2.0**-24  # bounds the error of a cosine of rounded unit vectors
+    near = s >= np.float32(min_cosine - max(1e-5, margin))
+    many = np.flatnonzero(near.sum(1) > 4 * k + 1)
+    if len(many):
+        edge = np.partition(s[many], len(m) - k - 1, axis=1)[:, len(m) - k - 1]
+        near[many] &= s[many] >= (edge - np.float32(2 * margin))[:, None]
+        many = many[near[many].sum(1) > 4 * k + 1]
+    if len(many):
+        c = np.round(u[q[many]] @ u[m].T, 12)
+        edge = np.partition(c, len(m) - k - 1, axis=1)[:, len(m) - k - 1, None]
+        above, level = c > edge, c == edge
+        near[many] = above | level & (np.cumsum(level, axis=1) <= k + 1 - above.sum(1)[:, None])
     return np.nonzero(near)

@@ -98,6 +98,18 @@ def test_ties_prefer_smaller_ids(spark):
     assert found(spark, rows, dim=2, k=2, relax=1.0) == brute(rows, 2, 2, 0.9)
 
 
+def test_close_copies_and_float_multiples_keep_their_order(spark):
+    rng = np.random.default_rng(8)
+    v, w = rng.standard_normal((2, 24))
+    rows = [(int(i), (v * (1 + 3e-5 * rng.standard_normal(24))).astype(np.float32).tolist()) for i in rng.permutation(400)]
+    rows += [(1000 + int(i), (w * f).astype(np.float32).tolist()) for i, f in zip(rng.permutation(400), 10 ** rng.uniform(-2, 2, 400))]
+    rows += [(2000 + i, x) for i, x in families(400, 24, 9)]
+    want = brute(rows, 24, 10, 0.9)
+    for kw in (dict(), dict(relax=1.0), dict(shard_rows=300)):
+        got = found(spark, rows, dim=24, **kw)
+        assert len(got & want) / len(want) >= 0.99 and len(got - want) / len(got) <= 0.01
+
+
 def test_shards_get_partitions_of_their_own(spark):
     from pyspark.sql import functions as F
 
