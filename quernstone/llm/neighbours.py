@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.vector import is_finite
 from ..operators.bounds import broadcast_if_small, checkpoint, spread
@@ -50,28 +50,29 @@ def similar_pairs(records: DataFrame, *, dim: int, k: int = 10, min_cosine: floa
 
     Rows with a null id, or whose vector is null, of another length, all zero or holds null or
     non-finite elements take no part. An id's repeated rows must be copies and count once. Of
-    any number of identical vectors only the k + 1 smallest ids can be a partner by the tie rule,
-    so only they are searched; the others get their partners by a join. Empty tables, or tables
-    of one vector, give no pairs. Extra columns are not read.
+    any number of exact multiples of one vector only the k + 1 smallest ids can be a partner by
+    the tie rule, so only they are searched; the others get the partners found for the smallest
+    id by a join. Empty tables, or tables of one vector, give no pairs. Extra columns are not read.
     """
     if not 0 < min_cosine <= 1 or not 0 <= relax <= 1 or k < 1 or trees < 1 or leaf < 2 or shard_rows < 1:
         raise ValueError("min_cosine lies in (0, 1], relax in [0, 1]; k, trees and shard_rows are at least 1, leaf 2")
     spark = records.sparkSession
     rows = records.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim))
-    rows = rows.where(is_finite(F.col("v")) & ((F.array_max("v") != 0) | (F.array_min("v") != 0))).withColumn("h", F.xxhash64("v"))
+    rows = rows.where(is_finite(F.col("v")) & ((F.array_max("v") != 0) | (F.array_min("v") != 0))).withColumn("h", _direction(F.col("v")))
     groups = rows.groupBy("h").agg(F.count("*").alias("n"))
-    n, hot = groups.agg(F.count("*"), F.sum((F.col("n") > k + 1).cast("long"))).first()  # different vectors
+    n, hot = groups.agg(F.count("*"), F.sum((F.col("n") > k + 1).cast("long"))).first()  # different directions
     if not n:
         return spark.createDataFrame([], "external_id_a long, external_id_b long")
 
     extra = None
-    if hot:  # copies of one vector beyond the k + 1 smallest ids
+    if hot:  # multiples of one vector beyond the k + 1 smallest ids
         over = broadcast_if_small(groups.where(F.col("n") > k + 1).select("h"), 32)
         many = rows.join(over, "h", "left_semi").select("h", "id").distinct()
         order = W.partitionBy("h").orderBy("id")
-        first = checkpoint(many.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("h", "id"))
-        first = broadcast_if_small(first, 64)
-        extra = many.join(first, ["h", "id"], "left_anti").join(first.withColumnRenamed("id", "b"), "h").select(F.col("id").alias("a"), "b", F.lit(1.0).alias("c"))
+        first = checkpoint(many.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("h", "id", "r"))
+        least = first.where(F.col("r") == 1).select("h", F.col("id").alias("a"))
+        first = broadcast_if_small(first.select("h", "id"), 64)
+        extra = many.join(first, ["h", "id"], "left_anti")
         lone = rows.join(over, "h", "left_anti")
         kept = rows.join(first, ["h", "id"], "left_semi")
         rows = lone.unionByName(kept)
@@ -82,13 +83,23 @@ def similar_pairs(records: DataFrame, *, dim: int, k: int = 10, min_cosine: floa
     radius = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
     placed = spread(rows.select("id", "v")).mapInArrow(_router(pivots, _labels(spark, len(pivots)), dim, k, radius, relax), "shard int, home boolean, reach float, id long, v array<float>")
     found = placed.repartition(len(pivots), "shard").groupBy("shard").applyInArrow(_searcher(dim, k, min_cosine, relax, trees, leaf, seed), "a long, b long, c double")
-    if extra is not None:
-        found = found.unionByName(extra.where(F.col("a") != F.col("b")))
     best = W.partitionBy("a").orderBy(F.desc("c"), "b")
-    near = found.distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    near = found.distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("a", "b", "c")
+    if extra is not None:  # their partners: the smallest id of the direction and its partners, the k best of these
+        near = checkpoint(near)
+        theirs = near.join(broadcast_if_small(least, 32), "a").unionByName(least.select("a", F.col("a").alias("b"), F.lit(1.0).alias("c"), "h"))
+        theirs = theirs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("h", "b")
+        near = near.select("a", "b").unionByName(extra.withColumnRenamed("id", "a").join(broadcast_if_small(theirs, 32), "h").select("a", "b"))
     return near.select(F.least("a", "b").alias("external_id_a"), F.greatest("a", "b").alias("external_id_b")).distinct()
 
 
+def _direction(v: Column) -> Column:
+    """A hash that exact multiples of a vector share: the quotients by the largest element are
+    rounded from the same numbers."""
+    most = F.greatest(F.array_max(v), -F.array_min(v)).cast("double")
+    return F.transform(F.array(most), lambda m: F.xxhash64(F.transform(v, lambda x: F.try_divide(x, m))))[0]  # m is taken once a row; faulty rows may pass
+
+
 def _unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows that have a direction, as unit vectors in double precision, and which they are."""
     with np.errstate(all="ignore"):
@@ -99,8 +110,8 @@ def _unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pivots(rows: DataFrame, wanted: int, n: int, dim: int, seed: int) -> np.ndarray:
-    """About ``wanted`` different directions, drawn by a hash of the vector, so dense regions get
-    more pivots and copies of one vector only one."""
+    """About ``wanted`` different directions, drawn by a hash of the direction, so dense regions get
+    more pivots and multiples of one vector only one."""
     slots = 1 << 40
     share = min(slots, int(slots * min(1.0, (wanted + 4 * wanted**0.5 + 8) / n)) + 1)
     sample = rows.where(F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(slots)) < share).select("h", "v").dropDuplicates(["h"])

@@ -110,6 +110,22 @@ def test_close_copies_and_float_multiples_keep_their_order(spark):
         assert len(got & want) / len(want) >= 0.99 and len(got - want) / len(got) <= 0.01
 
 
+def test_multiples_of_a_vector_beyond_the_smallest_ids(spark):
+    v = [1.0, -0.5, 0.0, 3.0, 0.25, -0.0, 1.5, 2.0]
+    copies = [(50_000 + i, v) for i in range(120)]
+    multiples = [(i - 10, [2.0 ** (i + 1) * x for x in v]) for i in range(4)] + [(60_000 + i, [(i + 3) * x for x in v]) for i in range(60)]
+    near = [(-20, [3.0 * x * 1.1 for x in v]), (-15, [x + 0.001 for x in v])]  # the first is a multiple but for rounding
+    every = families(200, 8, 4) + copies + multiples + near
+    assert found(spark, every, dim=8, k=5, relax=1.0, shard_rows=60, leaf=8) == brute(every, 8, 5, 0.9)
+
+
+def test_multiples_share_a_direction(spark):
+    rows = [([float(f) * x for x in (1.0, -0.5, 0.0, 3.0)],) for f in range(1, 40)] + [([1.0, -0.5, -0.0, 3.0],)]
+    other = [([-1.0, 0.5, 0.0, -3.0],), ([1.0, -0.5, 0.0, 3.0000002],)]
+    df = spark.createDataFrame(rows + other, "v array<float>")
+    assert df.select(neighbours._direction(df.v)).distinct().count() == 3
+
+
 def test_shards_get_partitions_of_their_own(spark):
     from pyspark.sql import functions as F
 
