@@ -1,9 +1,10 @@
 """Frequency of every term: occurrences and records, with last-seen counters.
 
-A task goes through its records in order. Each term has a counter of occurrences, records and
-the last record seen with it; an occurrence adds a record only if it comes from another record
-than the last one. No set of records is kept per term. Counters of the tasks are then added up
-by term; a term that every record holds reaches that step as one row per batch.
+Records are partitioned and sorted by id, so all texts of an id meet in one task. A batch is
+counted by sorting its tokens by term, records in their order; an occurrence adds a record only
+if it comes from another record than the term's last one. Over the end of a batch only the terms
+of its last record are kept. Counts of the batches are then added up by term; a term that every
+record holds reaches that step as one row per batch.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ def term_frequencies(records: DataFrame, *, rare_below: int = 3, common_share: f
     ``mark`` is ``rare`` if fewer than ``rare_below`` records hold the word, ``common`` if more
     than ``common_share`` of all records do, else null; rare wins where both hold. All records
     count in that share, also those without text. Repeated rows count once (distinct id and
-    text); rows with a null id are left out. An empty table gives no rows.
+    text), an id with several texts is one record of their terms; rows with a null id are left out. An empty table gives no rows.
     """
     if rare_below < 0 or not 0 <= common_share <= 1:
         raise ValueError("rare_below can't be negative and common_share lies in [0, 1]")
-    rows = records.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null").distinct()
-    partial = rows.select("id", words(F.col("text")).alias("w")).where(F.size("w") > 0).mapInArrow(_count, "term string, occurrences long, records long")
+    rows = records.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null").repartition("id").distinct()
+    partial = rows.sortWithinPartitions("id").select("id", words(F.col("text")).alias("w")).where(F.size("w") > 0).mapInArrow(_count, "term string, occurrences long, records long")
     counts = partial.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     n = rows.agg(F.count("*").alias("_n"))  # one row
     mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > F.col("_n") * F.lit(common_share), "common")
@@ -36,15 +37,26 @@ def term_frequencies(records: DataFrame, *, rare_below: int = 3, common_share: f
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, seen = None, set()  # the record at the end of the batches so far, its terms
     for b in batches:
         lists = b.column("w")
         terms = lists.flatten().dictionary_encode()
         lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-        record = np.repeat(b.column("id").to_numpy(zero_copy_only=False), lengths)
+        ids = b.column("id").to_numpy(zero_copy_only=False)
+        if not len(ids):
+            continue
+        record = np.repeat(ids, lengths)
         codes = terms.indices.to_numpy(zero_copy_only=False)
         n = len(terms.dictionary)
         order = np.argsort(codes, kind="stable")  # by term, records of a term still in their order
-        codes, record = codes[order], record[order]
-        first = np.diff(codes, prepend=-1) != 0
-        new = first | (np.diff(record, prepend=0) != 0)  # another record than the term's last one
-        yield pa.RecordBatch.from_arrays([terms.dictionary, pa.array(np.bincount(codes, minlength=n)), pa.array(np.bincount(codes[new], minlength=n))], ["term", "occurrences", "records"])
+        by_term, by_record = codes[order], record[order]
+        first = np.diff(by_term, prepend=-1) != 0
+        new = first | (np.diff(by_record, prepend=0) != 0)  # another record than the term's last one
+        counts = np.bincount(by_term[new], minlength=n)
+        if last == ids[0]:  # the record goes on
+            for code in np.unique(codes[record == last]):
+                counts[code] -= terms.dictionary[code].as_py() in seen
+        if last != ids[-1]:
+            last, seen = ids[-1], set()
+        seen.update(terms.dictionary.take(pa.array(np.unique(codes[record == last]))).to_pylist())
+        yield pa.RecordBatch.from_arrays([terms.dictionary, pa.array(np.bincount(codes, minlength=n)), pa.array(counts)], ["term", "occurrences", "records"])

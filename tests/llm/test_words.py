@@ -90,3 +90,20 @@ def test_frequencies_of_a_hot_term_and_small_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got["hot"] == (1000, 500) and got["long"] == (20_000, 1) and got["w0"] == (72, 72)
+
+
+@pytest.mark.parametrize("batch", [1, 2, 10_000])
+def test_an_id_with_several_texts_is_one_record_of_a_term(spark, batch):
+    rows = [(i % 40, f"alpha beta{i % 3} {'alpha ' * (i % 4)}v{i}") for i in range(200)]
+    cf, holders = Counter(), {}
+    for i, t in set(rows):
+        for w in t.split():
+            cf[w] += 1
+            holders.setdefault(w, set()).add(i)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {r.term: (r.occurrences, r.records) for r in term_frequencies(frame(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {w: (cf[w], len(holders[w])) for w in cf}
