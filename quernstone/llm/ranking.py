@@ -4,7 +4,7 @@ Per query each path is a criterion. Its values are brought to one scale, the bes
 criterion makes the ideal point and the worst the anti-ideal; an item's place follows from its
 weighted distances to both: closeness = to_anti / (to_anti + to_ideal).
 
-``scale="winsor"`` clips a path's scores to two quantiles and divides by their vector norm, so
+``scale="winsor"`` clips a path's scores to two quantiles, taken by exact place, and divides by their vector norm, so
 neither an outlier nor a large range lets a path dominate. ``scale="reciprocal_rank"`` replaces
 scores by 1 / (60 + place), which removes scale altogether; with city-block distance the
 distance to the anti-ideal (0 on every path) is then the sum of those parts and closeness is
@@ -67,7 +67,9 @@ def ideal_point(hits: DataFrame, *, scale: str = "winsor", power: int = 2, low:
         valued = places(rows).withColumn("value", F.lit(1.0) / (F.lit(rrf_k) + F.col("place")))
         marks = valued.groupBy(*path).agg(F.lit(0.0).alias("anti"), F.lit(1.0 / (rrf_k + 1)).alias("ideal"))
     else:
-        edges = rows.groupBy(*path).agg(F.percentile_approx("score", F.lit([low, high]), 10_000).alias("e"))
+        sizes = rows.groupBy(*path).agg(F.count("*").alias("n"))
+        at = lambda q: F.max(F.when(F.col("place") == F.least(F.col("n"), F.floor(F.col("n") - F.col("n") * F.lit(float(q))) + 1), F.col("score")))
+        edges = places(rows).join(sizes, path).groupBy(*path).agg(F.array(at(low), at(high)).alias("e"))
         clipped = rows.join(edges, path).withColumn("clip", F.greatest(F.least(F.col("score"), F.col("e")[1]), F.col("e")[0]))
         norms = clipped.groupBy(*path).agg(F.sqrt(F.sum(F.col("clip") * F.col("clip"))).alias("norm"), F.min("clip").alias("lo"), F.max("clip").alias("hi"))
         length = F.when((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.col("norm")).otherwise(1.0)

@@ -105,3 +105,12 @@ def test_edges(spark):
     for bad in (dict(scale="z"), dict(power=3), dict(low=0.9, high=0.1)):
         with pytest.raises(ValueError):
             ideal_point(frame(spark, []), **bad)
+
+
+def test_winsor_edges_of_a_large_group_are_exact(spark):
+    from pyspark.sql import functions as F
+
+    n = 300_000
+    hits = spark.range(n, numPartitions=6).select(F.lit(1).cast("long").alias("query_id"), F.lit("a").alias("path"), F.col("id").alias("external_id"), ((F.col("id") * 7919) % n).cast("double").alias("score"))
+    c = ideal_point(hits).agg(F.sum((F.col("closeness") == 0).cast("long")).alias("low"), F.sum((F.col("closeness") == 1).cast("long")).alias("high")).first()
+    assert (c.low, c.high) == (n // 20, n // 20 + 1)
