@@ -18,7 +18,7 @@ from .operators.liveview import batch_get, point_get
 from .operators.topk import check_k, exact_top_k
 from .plans.predicate import FaithfulMeta, Fields, coerce_where, filter_column
 from .schema import UPSERT, check_metric, id_kind_of, rows_from_columns
-from .sources.store import Store
+from .sources.store import LEASE_S, Store
 
 
 @dataclass(frozen=True)
@@ -30,15 +30,16 @@ class Hit:
     seq: int
 
 
-def connect(spark: SparkSession, folder: str, *, metric: str | None = None, fields: dict[str, str] | None = None, safety: str = "strict", autocommit: bool = True) -> "Collection":
+def connect(spark: SparkSession, folder: str, *, metric: str | None = None, fields: dict[str, str] | None = None, safety: str = "strict", autocommit: bool = True, lease_s: float = LEASE_S) -> "Collection":
     """Opens or creates the collection in ``folder``.
 
     ``fields`` declares typed metadata columns for a new collection; without it metadata may hold
-    anything. ``safety`` is ``strict`` (every commit is on storage before it returns).
+    anything. ``safety`` is ``strict`` (every commit is on storage before it returns). ``lease_s``:
+    how old what a checkpoint removes must be, so that no open reader or writer misses it.
     """
     if safety != "strict":
         raise SchemaError(f"safety {safety!r} isn't offered; use 'strict'")
-    c = Collection(spark, folder, fields=fields, autocommit=autocommit)
+    c = Collection(spark, folder, fields=fields, autocommit=autocommit, lease_s=lease_s)
     if metric is not None:
         c.set_metric(metric)
     return c
@@ -51,8 +52,8 @@ class Collection:
     Equal scores order by id. Writes commit by themselves unless inside ``transaction()``.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, fields: dict[str, str] | None = None, autocommit: bool = True):
-        self.spark, self.store, self.autocommit = spark, Store(spark, folder), autocommit
+    def __init__(self, spark: SparkSession, folder: str, fields: dict[str, str] | None = None, autocommit: bool = True, lease_s: float = LEASE_S):
+        self.spark, self.store, self.autocommit = spark, Store(spark, folder, lease_s), autocommit
         self._in_transaction, self._index, self._index_config = False, None, IvfConfig()
         s = self.store.settings
         if fields is not None:

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .errors import SchemaError
 from .functions.vector import Metric, is_finite
@@ -100,23 +100,25 @@ def rows_from_columns(spark: SparkSession, settings: Settings, ids: Sequence, ve
         raise SchemaError(f"batch doesn't fit the collection's schema: {e}") from e
 
 
-def violations(staged: DataFrame, settings: Settings) -> tuple[dict[str, int], int | None]:
-    """Counts of faulty upsert rows by kind, in one pass, and the dimension found.
+def violation_counts(settings: Settings) -> list[Column]:
+    """Aggregates over a batch: its dimensions and how many upsert rows are faulty, by kind.
 
-    Checked before anything becomes visible: null id, negative id, missing, empty, too long or
-    wrong-length vector, non-finite element or norm.
+    They are observed while the batch is written, before anything becomes visible: null id,
+    negative id, missing, empty, too long or wrong-length vector, non-finite element or norm.
     """
-    up = F.col("op") == UPSERT
-    size = F.size("vector")
-    dims = staged.agg(F.min(F.when(up, size)).alias("lo"), F.max(F.when(up, size)).alias("hi"),
-                      F.sum(F.col("id").isNull().cast("long")).alias("null id"),
-                      F.sum((F.col("id").cast("string").startswith("-") & F.lit(settings.id_kind == "int")).cast("long")).alias("negative id"),
-                      F.sum((up & (F.col("vector").isNull() | (size < 1) | (size > MAX_DIM))).cast("long")).alias("missing, empty or too long vector"),
-                      F.sum((up & ~is_finite(F.col("vector"))).cast("long")).alias("non-finite vector element"),
-                      F.sum((up & (F.isnan("norm") | (F.abs("norm") == math.inf))).cast("long")).alias("non-finite norm")).first().asDict()
-    lo, hi = dims.pop("lo"), dims.pop("hi")
+    up, size = F.col("op") == UPSERT, F.size("vector")
+    faults = {"null id": F.col("id").isNull(), "negative id": F.col("id").cast("string").startswith("-") & F.lit(settings.id_kind == "int"),
+              "missing, empty or too long vector": up & (F.col("vector").isNull() | (size < 1) | (size > MAX_DIM)),
+              "non-finite vector element": up & ~is_finite(F.col("vector")), "non-finite norm": up & (F.isnan("norm") | (F.abs("norm") == math.inf))}
+    return [F.min(F.when(up, size)).alias("lo"), F.max(F.when(up, size)).alias("hi"), *[F.sum(f.cast("long")).alias(name) for name, f in faults.items()]]
+
+
+def verdict(counts: Mapping[str, int | None], settings: Settings) -> tuple[dict[str, int], int | None]:
+    """Faults of a batch with their counts, and its dimension, from what was observed."""
+    counts = dict(counts)
+    lo, hi = counts.pop("lo", None), counts.pop("hi", None)
     want = settings.dim if settings.dim is not None else hi
-    faults = {k: v for k, v in dims.items() if v}
+    faults = {k: v for k, v in counts.items() if v}
     if lo is not None and (lo != want or hi != want):
         faults["wrong dimension"] = 1
     return faults, want

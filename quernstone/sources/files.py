@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -40,6 +41,17 @@ class Files:
 
     def replace_text(self, path: str, text: str) -> None:
         """Writes a new file beside ``path`` and renames it over: readers see the old or the new."""
+        self._place(path, text, "OVERWRITE")
+
+    def create_text(self, path: str, text: str) -> None:
+        """The same for a file that must not exist yet; ``StorageError`` if it does."""
+        try:
+            self._place(path, text, "NONE")
+        except Py4JJavaError as e:
+            self.remove(e.tmp)
+            raise StorageError(f"{path} exists already or can't be written") from e
+
+    def _place(self, path: str, text: str, mode: str) -> None:
         fs, p = self._at(path)
         tmp = self._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
         stream = fs.create(tmp, True)
@@ -50,14 +62,23 @@ class Files:
             stream.close()
         opts = self._jvm.org.apache.hadoop.fs.Options.Rename
         array = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
-        array[0] = opts.OVERWRITE
-        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri() if tmp.toUri().getScheme() else fs.getUri(), self._conf).rename(fs.makeQualified(tmp), fs.makeQualified(p), array)
+        array[0] = getattr(opts, mode)
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri() if tmp.toUri().getScheme() else fs.getUri(), self._conf).rename(fs.makeQualified(tmp), fs.makeQualified(p), array)
+        except Py4JJavaError as e:
+            e.tmp = tmp.toString()
+            raise
 
     def names(self, path: str) -> list[str]:
         """Names in a folder, sorted; none if it doesn't exist."""
         fs, p = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def age_s(self, path: str) -> float:
+        """Seconds since a file or folder was last changed, by the clock of this driver."""
+        fs, p = self._at(path)
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+
     def remove(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)

@@ -1,5 +1,6 @@
 """Durable collection: writes, transactions, recovery, index, streaming."""
 
+import glob
 import json
 import math
 import random
@@ -123,7 +124,7 @@ def test_checkpoint_reopen_and_rebuild(spark, folder):
     want = sorted((r.id, r.seq) for r in c.scan().collect())
     assert sorted((r.id, r.seq) for r in qs.connect(spark, folder).scan().collect()) == want
     assert c.checkpoint() == 2
-    assert [p for p in c.store.files.names(folder + "/snapshots")] == ["s-00000002"]
+    assert c.store.files.names(folder + "/snapshots") == ["s-00000001", "s-00000002"]  # readers may still be at the one before
     shutil.rmtree(folder + "/snapshots/s-00000002")
     d = qs.connect(spark, folder)  # from the log
     assert sorted((r.id, r.seq) for r in d.scan().collect()) == want
@@ -146,11 +147,61 @@ def test_pruned_log_needs_its_snapshot(spark, folder):
 def test_missing_committed_write_is_loud(spark, folder):
     c = qs.connect(spark, folder)
     c.add([1], [[1, 1]])
-    shutil.rmtree(folder + "/commits/d-00000001")
+    shutil.rmtree(glob.glob(folder + "/commits/d-00000001-*")[0])
     with pytest.raises(qs.StorageError):
         qs.connect(spark, folder)
 
 
+def test_an_open_reader_and_an_open_writer_lose_nothing(spark, folder):
+    w = qs.connect(spark, folder, metric="l2")
+    w.add([1, 2], [[1, 0], [2, 0]])
+    w.checkpoint()
+    before = qs.connect(spark, folder).frame()  # lazy, of the first snapshot
+    with w.transaction():
+        w.add([3], [[3, 0]])
+        assert len(qs.connect(spark, folder)) == 2  # opening neither sees nor removes what is staged
+        w.delete([1])
+    assert sorted(r.id for r in qs.connect(spark, folder).frame().collect()) == [2, 3]
+    tail = qs.connect(spark, folder).frame()
+    w.checkpoint(prune_log=True)
+    assert sorted(r.id for r in before.collect()) == [1, 2] and sorted(r.id for r in tail.collect()) == [2, 3]
+    assert sorted(r.id for r in w.frame().collect()) == [2, 3]
+
+
+def test_lease_and_generations(spark, folder):
+    c = qs.connect(spark, folder, lease_s=0)
+    c.add([1], [[1, 0]])
+    shutil.copytree(glob.glob(folder + "/commits/d-*")[0], folder + "/commits/d-00000009-other")  # of a writer that died
+    for i in range(3):
+        c.add([i + 2], [[i, 1]])
+        c.checkpoint()
+    assert c.store.files.names(folder + "/snapshots") == ["s-00000002", "s-00000003"]
+    left = c.store.files.names(folder + "/commits")
+    assert not [n for n in left if n.startswith("c-") or "other" in n] and len([n for n in left if n.startswith("history")]) == 1
+    d = qs.connect(spark, folder)
+    d.add([50], [[0, 0]])
+    shutil.rmtree(folder + "/snapshots")
+    assert sorted(r.id for r in qs.connect(spark, folder).frame().collect()) == [1, 2, 3, 4, 50]  # from the history and newer markers
+
+
+def test_two_writers_cannot_both_commit(spark, folder):
+    a = qs.connect(spark, folder, autocommit=False)
+    a.add([1], [[1, 0]])
+    b = qs.connect(spark, folder, autocommit=False)
+    b.add([2], [[2, 0]])
+    a.commit()
+    with pytest.raises(qs.StorageError):
+        b.commit()
+    b.rollback()
+    assert [r.id for r in qs.connect(spark, folder).frame().collect()] == [1]
+    c = qs.connect(spark, folder, autocommit=False)
+    c.add([3], [[3, 0]])
+    shutil.rmtree(glob.glob(folder + "/commits/d-*" + c.store.session)[0])
+    with pytest.raises(qs.StorageError):
+        c.commit()
+    assert len(qs.connect(spark, folder)) == 1
+
+
 def test_numbers_follow_input_order_over_partitions(spark, folder):
     c = qs.connect(spark, folder)
     df = spark.range(0, 1000, 1, 6).select("id", F.array(F.col("id").cast("float")).alias("vector"), (F.col("id") % 7).cast("string").alias("text"))
