@@ -387,7 +387,9 @@ _ENTRIES = """e as (select seq, external_id, min(lifecycle) as lifecycle, bool_o
   select distinct m.external_id, m.seq from m join a using (external_id, seq) where a.lifecycle = 0""")
 def p2_found(spark, folder):
     every = changes.acknowledged_changes(table(spark, folder, "records"), table(spark, folder, "segment_entries"))
-    return changes.current_state(every, "external_id", "seq", is_insert=F.col("lifecycle") == 0, is_delete=F.col("lifecycle") == 1)
+    files = changes.ChangeFiles(spark, scratch_folder(spark, "changes"), "external_id", "seq")
+    files.append(every, is_insert=F.col("lifecycle") == 0, is_delete=F.col("lifecycle") == 1)
+    return files.read()
 
 
 @query("""with m as (select checkpoint_seq, segments from manifests where status = 'published' order by generation desc limit 1),
@@ -395,8 +397,10 @@ def p2_found(spark, folder):
         from segment_entries s, m group by 1, 2)
   select external_id, seq from e where acked and (seq > mark or not sealed)""")
 def p3_found(spark, folder):
-    manifest = incremental.last_good_manifest(table(spark, folder, "manifests"))
-    return incremental.uncovered(table(spark, folder, "segment_entries"), manifest)
+    run = incremental.IncrementalRun(spark, scratch_folder(spark, "incremental"), key=("seq", "external_id"))
+    run.start_from(incremental.last_good_manifest(table(spark, folder, "manifests")))
+    run.run(table(spark, folder, "segment_entries"), lambda due: due.select("external_id", "seq"), columns=["external_id", "seq"])
+    return run.result()
 
 
 @query(f"""with {_ENTRIES}, m as (select external_id, max(seq) as seq from a where lifecycle in (0, 1) group by 1)

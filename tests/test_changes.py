@@ -1,6 +1,5 @@
 """Change feeds: current state, uncovered entries, incremental runs."""
 
-import json
 import random
 
 import pytest
@@ -80,11 +79,77 @@ def test_uncovered(spark):
         (6, 2, 1, 8, "c", None, ""), (7, 3, 0, None, None, None, ""), (11, 4, 0, 12, "a", None, ""), (12, 4, 0, None, "a", None, ""), (13, 5, 2, None, None, None, ""), (13, 5, 0, 14, None, None, ""),
     ]
     entries = spark.createDataFrame(rows, ENTRY)
-    assert sorted((r.seq, r.external_id) for r in incremental.uncovered(entries, m).collect()) == [(4, 1), (6, 2), (11, 4), (13, 5)]
+    segments = m.select(F.explode("segments"))
+    due = incremental.uncovered(entries, 10, segments, columns=["lifecycle", "segment", "extra"])
+    assert sorted((r.seq, r.external_id, r.lifecycle, r._first) for r in due.collect()) == [(4, 1, 0, 4), (6, 2, 1, 8), (11, 4, 0, 12), (13, 5, 0, 14)]
+    assert due.columns == ["seq", "external_id", "lifecycle", "segment", "extra", "_first"]
+    assert sorted(r.seq for r in incremental.uncovered(entries, None, segments).collect()) == [3, 4, 5, 6, 11, 13]
     none = incremental.last_good_manifest(manifests.where("status = 'staged'"))
     assert none.count() == 0
-    assert sorted(r.seq for r in incremental.uncovered(entries, none).collect()) == [3, 4, 5, 6, 11, 13]
-    assert incremental.uncovered(entries.limit(0), m).count() == 0
+    assert sorted(r.seq for r in incremental.uncovered(entries, None, None).collect()) == [3, 4, 5, 6, 11, 13]
+    assert incremental.uncovered(entries.limit(0), 10, segments).count() == 0
+
+
+def test_a_run_that_starts_from_a_manifest(spark, tmp_path):
+    m = spark.createDataFrame([(2, 10, ["a", "b"])], "generation long, checkpoint_seq long, segments array<string>")
+    rows = [(4, 1, 0, 4, "a", None, ""), (5, 1, 0, 4, None, None, ""), (11, 2, 0, 12, "a", None, ""), (12, 3, 0, None, "a", None, ""), (None, 4, 0, 3, None, None, "")]
+    for name, manifest, want in (("some", m, [5, 11]), ("none", m.limit(0), [4, 5, 11])):
+        run = IncrementalRun(spark, str(tmp_path / name), key=("seq", "external_id"))
+        run.start_from(manifest)
+        assert run.run(spark.createDataFrame(rows, ENTRY), lambda df: df) == 1
+        assert sorted(r.seq for r in run.result().collect()) == want
+        again = spark.createDataFrame([*rows, (4, 1, 2, 20, None, None, ""), (12, 3, 0, 9, None, None, "")], ENTRY)
+        assert run.run(again, lambda df: df, columns=["seq"]) == 2
+        assert sorted(r.seq for r in run.result().collect()) == sorted([*want, 12])  # 4 is covered or done, whatever copies come
+        with pytest.raises(StorageError):
+            run.start_from(manifest)
+
+
+def test_copies_and_late_entries_of_later_runs(spark, tmp_path):
+    def source(*rows):
+        return spark.createDataFrame([(s, s, 0, c, None, "t", "") for s, c in rows], ENTRY)
+
+    for lateness in (None, 5):
+        run = IncrementalRun(spark, str(tmp_path / f"l{lateness}"), lateness=lateness)
+        job = lambda df: df.select("seq")
+        first = [(1, 100), (2, 100), (1, 100), (3, None)]
+        assert run.run(source(*first), job) == 1
+        later = [*first, (1, 101), (4, 99), (5, 103)]
+        assert run.run(source(*later), job) == 2 and run.state()["watermark"] == 103
+        assert run.run(source(*later), job) == 0
+        far = [*later, (6, 140), (5, 104), (3, 139)]
+        assert run.run(source(*far), job) == 3
+        assert sorted(r.seq for r in run.result().collect()) == [1, 2, 3, 4, 5, 6]
+        assert run.run(source(*far, (7, 200)), job) == 4 and run.state()["oldest"] == (1 if lateness is None else 4)
+    with pytest.raises(SchemaError):
+        IncrementalRun(spark, str(tmp_path / "x"), lateness=-1)
+
+
+def test_change_files(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(1 if rng.random() < 0.4 else rng.randrange(2, 40), s, rng.choice([0, 0, 1, 2, None])) for s in range(300)] + [(None, 5, 0), (7, None, 0)]
+    want, files = brute(rows), changes.ChangeFiles(spark, str(tmp_path / "t"), "external_id", "seq", ["note"])
+    with pytest.raises(StorageError):
+        files.read()
+    rng.shuffle(rows)
+    kinds = dict(is_insert=F.col("lifecycle") == 0, is_delete=F.col("lifecycle") == 1)
+    for lo in range(0, 310, 80):  # out of order over batches, some rows twice
+        part = rows[max(0, lo - 20) : lo + 80]
+        files.append(spark.createDataFrame([(*r, f"v{r[1]}", 1) for r in part], "external_id long, seq long, lifecycle int, note string, _kind int"), **kinds)
+        if lo == 160:
+            files.compact()
+    files.append(spark.createDataFrame([], "external_id long, seq long, lifecycle int, note string"), **kinds)
+    assert {(r.external_id, r.seq) for r in files.read().collect()} == want
+    assert [f for f in files.files_of("delete").columns] == ["external_id", "seq"]
+    files.compact()
+    got = changes.ChangeFiles(spark, str(tmp_path / "t"), "external_id", "seq", ["note"]).read().collect()
+    assert {(r.external_id, r.seq) for r in got} == want and len(got) == len(want) and all(r.note == f"v{r.seq}" for r in got)
+    assert len(files.batches()) == 1
+    with pytest.raises(SchemaError):
+        files.append(spark.createDataFrame([(1,)], "external_id long"), **kinds)
+    (tmp_path / "t" / "FILES.json").write_text("{")
+    with pytest.raises(StorageError):
+        files.batches()
 
 
 def test_incremental_runs_lose_and_repeat_nothing(spark, tmp_path):
@@ -113,7 +178,7 @@ def test_incremental_runs_lose_and_repeat_nothing(spark, tmp_path):
     assert seqs == [s for s in range(50) if s % 7]
     assert run.run(source.limit(0), job) == 0
     with pytest.raises(SchemaError):
-        run.run(source, job, commit_col="nothing")
+        run.run(source.drop("commit_seq"), job)
     (tmp_path / "job" / "WATERMARK.json").write_text("{")
     with pytest.raises(StorageError):
         run.state()
@@ -122,8 +187,10 @@ def test_incremental_runs_lose_and_repeat_nothing(spark, tmp_path):
 def test_upper_limit_is_fixed_at_the_start(spark, tmp_path):
     run = IncrementalRun(spark, str(tmp_path / "job"))
     path = str(tmp_path / "source")
-    spark.createDataFrame([(1,), (2,)], "commit_seq long").write.parquet(path)
+    spark.createDataFrame([(1, 1), (2, 2)], "seq long, commit_seq long").write.parquet(path)
     rows, high = run.pending(spark.read.parquet(path))
-    spark.createDataFrame([(3,)], "commit_seq long").write.mode("append").parquet(path)
+    spark.createDataFrame([(3, 3)], "seq long, commit_seq long").write.mode("append").parquet(path)
     assert high == 2 and rows.agg(F.max("commit_seq")).first()[0] == 2
-    assert json.dumps(run.state()) == '{"watermark": null, "run": 0, "runs": []}'
+    assert run.state() == {"watermark": None, "run": 0, "oldest": 1, "base": None}
+    assert run.run(spark.read.parquet(path), lambda df: df) == 1
+    assert sorted(tuple(r) for r in run.result().collect()) == [(1, 1), (2, 2), (3, 3)]
