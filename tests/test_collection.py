@@ -5,6 +5,7 @@ import json
 import math
 import random
 import shutil
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -267,7 +268,7 @@ def test_index_contract(spark, tmp_path):
         IvfIndex.build(df, str(tmp_path / "d"), "dot", 2)
     a = IvfIndex.build(df, str(tmp_path / "a"), "l2", 2, IvfConfig(lists=8, probes=1, target_recall=0))
     b = IvfIndex.build(df.repartition(5), str(tmp_path / "b"), "l2", 2, IvfConfig(lists=8, probes=1, target_recall=0))
-    assert np.array_equal(a.centres, b.centres) and len(a) == 302
+    assert np.array_equal(a.centres.points, b.centres.points) and len(a) == 302
     plan = a.candidates([5.0, 0.0], 3)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(list_id" in plan or "list_id" in plan.split("PartitionFilters")[1].split("]")[0]
     near = {r.id for r in a.candidates([5.0, 0.0], 3).collect()}
@@ -287,12 +288,32 @@ def test_index_contract(spark, tmp_path):
     asked = rows.where("id % 50 = 0").selectExpr("id as qid", "vector as qvector")
     assert c.probes > 8
     assert topk.recall_at_k(c.batch_search(asked, 10), topk.batch_top_k(rows, asked, 10, "l2", dim=24), 10).first().mean_recall >= 0.95
+    by_join = c.batch_search(asked, 10, query_bytes=8 * 24)  # more queries than may be sent to all tasks
+    assert sorted(map(tuple, by_join.collect())) == sorted(map(tuple, c.batch_search(asked, 10).collect()))
+    parts = c._met(asked.selectExpr("qid", "qvector as qv"), 10, c.probes, 9, part_rows=3)
+    assert parts.groupBy("qid").agg(F.max("score").alias("s")).where("abs(s) > 1e-6").count() == 0
     flat = FlatIndex(df)
     assert len(flat) == 302 and flat.candidates([1.0], 1).count() == 302
     with pytest.raises(qs.StorageError):
         IvfIndex(spark, str(tmp_path / "none"))
 
 
+def test_many_centres_stay_small():
+    rng = np.random.default_rng(2)
+    x = (rng.standard_normal((40, 16))[rng.integers(40, size=12_000)] + 0.3 * rng.standard_normal((12_000, 16))).astype(np.float32)
+    tracemalloc.start()
+    points = ann.fit_centres(x, 4096, 3, 1)
+    centres = ann.Centres(points)
+    near = centres.nearest(x[:2000], 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 3900 <= len(centres) <= 4096 and near.shape == (2000, 8) and peak < 120e6  # 12,000 x 4,096 distances would be 197 MB
+    exact = ann._nearest_flat(x[:2000], centres.points, centres.squares, 8)
+    assert np.mean([len(set(a) & set(b)) / 8 for a, b in zip(near.tolist(), exact.tolist())]) > 0.97
+    assert (near[:, 0] == exact[:, 0]).mean() > 0.98
+    assert ann.fit_centres(np.zeros((5, 3)), 4, 2, 1).shape == (1, 3)
+
+
 def test_generators_and_files(spark, tmp_path):
     u = synth.uniform(spark, 50, 4, seed=3)
     assert sorted(r.id for r in u.collect()) == list(range(1, 51))
