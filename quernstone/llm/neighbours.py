@@ -15,7 +15,10 @@ Pivots are records, so the (k + 1)-th nearest pivot bounds how far a vector's k-
 be; where that is less than r it takes r's place. A dense ball of vectors is thereby searched at
 its own scale and doesn't send every vector to every one of its cells.
 
-``relax`` 1 restores exact search in both. Smaller values follow what the distances to a third
+Many pivots are looked up through a layer of group pivots: a vector compares itself with those, and
+with the pivots of the groups that the inequality (their radius times ``relax``) can't rule out.
+
+``relax`` 1 restores exact search in all of them. Smaller values follow what the distances to a third
 point really do: in many dimensions two close vectors differ by a small part of r there. Several
 trees per shard make up for what a single one misses.
 """
@@ -26,9 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions.vector import is_finite
 from ..operators.bounds import broadcast_if_small, checkpoint, spread
 from ..operators.topk import batch_matrix
 
@@ -39,65 +41,105 @@ MAX_PIVOTS = 65_536
 #: precision they would be off by as much as they are long.
 CLOSE = 0.05
 
+#: From so many pivots on they are looked up through groups.
+FLAT_PIVOTS = 1024
+
 #: Pairs that a search holds before it keeps only the best of each row.
 MOST_PAIRS = 1 << 22
 
 
-def similar_pairs(records: DataFrame, *, dim: int, k: int = 10, min_cosine: float = 0.9, relax: float = 0.07, trees: int = 5, leaf: int = 128,
+def similar_pairs(records: DataFrame, *, dim: int, k: int = 10, min_cosine: float | None = 0.9, relax: float = 0.07, trees: int = 5, leaf: int = 128,
                   shard_rows: int = 25_000, seed: int = 17, id_col: str = "external_id", vector_col: str = "vector") -> DataFrame:
-    """Unordered pairs (external_id_a < external_id_b), each once, of cosine >= ``min_cosine`` in
-    which one is among the ``k`` most similar others of the other (equal cosine: smaller id).
+    """Unordered pairs (external_id_a < external_id_b), each once, of cosine >= ``min_cosine`` (None:
+    of any) in which one is among the ``k`` most similar others of the other. Cosines are taken in
+    double precision and rounded to 12 places; equal ones: smaller id first.
 
     Rows with a null id, or whose vector is null, of another length, all zero or holds null or
-    non-finite elements take no part. An id's repeated rows must be copies and count once. Of
-    any number of exact multiples of one vector only the k + 1 smallest ids can be a partner by
-    the tie rule, so only they are searched; the others get the partners found for the smallest
-    id by a join. Empty tables, or tables of one vector, give no pairs. Extra columns are not read.
+    non-finite elements take no part. An id's repeated rows must be copies and count once. Empty
+    tables, or tables of one vector, give no pairs. Extra columns are not read.
+
+    Vectors of one direction, up to the rounding of multiples to floats, have cosine 1 with one
+    another; in a group of more than k + 1 of them everyone's partners are the smallest ids. So only
+    the k + 1 smallest are asked about and the others get the same partners by a join. They can
+    still be partners of vectors of other directions, unless they are exact multiples of k + 1
+    smaller ids. A group of any size therefore costs a row each, not its square.
     """
-    if not 0 < min_cosine <= 1 or not 0 <= relax <= 1 or k < 1 or trees < 1 or leaf < 2 or shard_rows < 1:
-        raise ValueError("min_cosine lies in (0, 1], relax in [0, 1]; k, trees and shard_rows are at least 1, leaf 2")
+    if (min_cosine is not None and not -1 <= min_cosine <= 1) or not 0 <= relax <= 1 or k < 1 or trees < 1 or leaf < 2 or shard_rows < 1:
+        raise ValueError("min_cosine lies in [-1, 1], relax in [0, 1]; k, trees and shard_rows are at least 1, leaf 2")
+    least = -1.0 if min_cosine is None else min_cosine
     spark = records.sparkSession
-    rows = records.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim))
-    rows = rows.where(is_finite(F.col("v")) & ((F.array_max("v") != 0) | (F.array_min("v") != 0))).withColumn("h", _direction(F.col("v")))
-    groups = rows.groupBy("h").agg(F.count("*").alias("n"))
+    given = records.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim))
+    rows = checkpoint(spread(given).mapInArrow(_directions(dim), "id long, v array<float>, h long, g long"))
+    groups = rows.groupBy("g").agg(F.count("*").alias("n"))
     n, hot = groups.agg(F.count("*"), F.sum((F.col("n") > k + 1).cast("long"))).first()  # different directions
     if not n:
         return spark.createDataFrame([], "external_id_a long, external_id_b long")
 
-    extra = None
-    if hot:  # multiples of one vector beyond the k + 1 smallest ids
-        over = broadcast_if_small(groups.where(F.col("n") > k + 1).select("h"), 32)
-        many = rows.join(over, "h", "left_semi").select("h", "id").distinct()
-        order = W.partitionBy("h").orderBy("id")
-        first = checkpoint(many.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("h", "id", "r"))
-        least = first.where(F.col("r") == 1).select("h", F.col("id").alias("a"))
-        first = broadcast_if_small(first.select("h", "id"), 64)
-        extra = many.join(first, ["h", "id"], "left_anti")
-        lone = rows.join(over, "h", "left_anti")
-        kept = rows.join(first, ["h", "id"], "left_semi")
-        rows = lone.unionByName(kept)
-
-    pivots = _pivots(rows, min(MAX_PIVOTS, max(1, round(n / shard_rows))), n, dim, seed)
+    rows, extra = rows.withColumn("ask", F.lit(True)), None
+    if hot:
+        over = broadcast_if_small(groups.where(F.col("n") > k + 1).select("g"), 32)
+        many = rows.join(over, "g", "left_semi")
+
+        def smallest(by: str) -> DataFrame:
+            ids = many.select(by, "id").distinct()
+            return ids.withColumn("r", F.row_number().over(W.partitionBy(by).orderBy("id"))).where(F.col("r") <= k + 1)
+
+        first = checkpoint(smallest("g"))
+        asked = broadcast_if_small(first.select("g", "id"), 64)
+        of_exact = broadcast_if_small(checkpoint(smallest("h").select("h", "id")), 64)
+        extra = many.select("g", "id").distinct().join(asked, ["g", "id"], "left_anti")
+        kept = many.join(of_exact, ["h", "id"], "left_semi").drop("ask").join(asked.withColumn("ask", F.lit(True)), ["g", "id"], "left")
+        rows = rows.join(over, "g", "left_anti").unionByName(kept.withColumn("ask", F.coalesce("ask", F.lit(False))))
+        lead = first.where(F.col("r") == 1).select("g", F.col("id").alias("a"))
+
+    total = rows.count() if hot else n
+    pivots = _pivots(rows, min(MAX_PIVOTS, max(1, round(total / shard_rows))), total, dim, seed)
     if not len(pivots):
         return spark.createDataFrame([], "external_id_a long, external_id_b long")
-    radius = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
-    placed = spread(rows.select("id", "v")).mapInArrow(_router(pivots, _labels(spark, len(pivots)), dim, k, radius, relax), "shard int, home boolean, reach float, id long, v array<float>")
-    found = placed.repartition(len(pivots), "shard").groupBy("shard").applyInArrow(_searcher(dim, k, min_cosine, relax, trees, leaf, seed), "a long, b long, c double")
+    radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
+    placed = rows.select("id", "v", "ask").mapInArrow(_router(pivots, _labels(spark, len(pivots)), dim, k, radius, relax, seed), "shard int, home boolean, ask boolean, reach float, id long, v array<float>")
+    found = placed.repartition(len(pivots), "shard").groupBy("shard").applyInArrow(_searcher(dim, k, least, relax, trees, leaf, seed), "a long, b long, c double")
     best = W.partitionBy("a").orderBy(F.desc("c"), "b")
     near = found.distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("a", "b", "c")
-    if extra is not None:  # their partners: the smallest id of the direction and its partners, the k best of these
+    if extra is not None:  # the leading id of the direction and its partners, the k best of these
         near = checkpoint(near)
-        theirs = near.join(broadcast_if_small(least, 32), "a").unionByName(least.select("a", F.col("a").alias("b"), F.lit(1.0).alias("c"), "h"))
-        theirs = theirs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("h", "b")
-        near = near.select("a", "b").unionByName(extra.withColumnRenamed("id", "a").join(broadcast_if_small(theirs, 32), "h").select("a", "b"))
+        theirs = near.join(broadcast_if_small(lead, 32), "a").unionByName(lead.select("a", F.col("a").alias("b"), F.lit(1.0).alias("c"), "g"))
+        theirs = theirs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("g", "b")
+        near = near.select("a", "b").unionByName(extra.withColumnRenamed("id", "a").join(broadcast_if_small(theirs, 32), "g").select("a", "b"))
     return near.select(F.least("a", "b").alias("external_id_a"), F.greatest("a", "b").alias("external_id_b")).distinct()
 
 
-def _direction(v: Column) -> Column:
-    """A hash that exact multiples of a vector share: the quotients by the largest element are
-    rounded from the same numbers."""
-    most = F.greatest(F.array_max(v), -F.array_min(v)).cast("double")
-    return F.transform(F.array(most), lambda m: F.xxhash64(F.transform(v, lambda x: F.try_divide(x, m))))[0]  # m is taken once a row; faulty rows may pass
+def _row_hash(bits: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of unsigned integers."""
+    odd = np.random.default_rng(7).integers(1 << 62, size=bits.shape[1], dtype=np.uint64) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        h = ((bits ^ (bits >> np.uint64(29))) * odd)
+        h = ((h ^ (h >> np.uint64(32))) * odd[::-1]).sum(1, dtype=np.uint64)
+        return ((h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def direction_hashes(v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of vectors and their unit vectors: a hash that exact multiples share (the quotients by the
+    largest element are rounded from the same numbers), and one shared by vectors in one cell of a
+    grid so fine that any two have a cosine of 1 at 12 places."""
+    x = v.astype(np.float64)
+    exact = x / np.abs(x).max(1, keepdims=True) + 0.0
+    cell = np.floor(u * (u.shape[1] ** 0.5 / 0.9e-6)).astype(np.int64)
+    return _row_hash(exact.view(np.uint64)), _row_hash(cell.view(np.uint64))
+
+
+def _directions(dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, fits = batch_matrix(b.column("v"), dim, np.float32)
+            u, good = _unit(v)
+            if not len(u):
+                continue
+            h, g = direction_hashes(v[good], u)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(u) + 1) * dim, dim, dtype=np.int32)), pa.array(v[good].ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(fits[good])), lists, pa.array(h), pa.array(np.where(h == g, g + 1, g))], ["id", "v", "h", "g"])
+
+    return run
 
 
 def _unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,29 +173,79 @@ def _labels(spark: SparkSession, n: int) -> np.ndarray:
     return np.concatenate((labels, -1 - np.arange(n - len(labels)))).astype(np.int32)  # rarely two share a partition
 
 
-def _router(pivots: np.ndarray, labels: np.ndarray, dim: int, k: int, radius: float, relax: float):
+class _Pivots:
+    """Pivots with their groups: ``near`` gives those whose distance to a row can matter."""
+
+    def __init__(self, pivots: np.ndarray, relax: float, seed: int):
+        self.relax, n = relax, len(pivots)
+        if n <= FLAT_PIVOTS:
+            self.points, self.order, self.groups = pivots, np.arange(n), None
+            return
+        some = np.sort(np.random.default_rng(seed).permutation(n)[: round(n**0.5)])
+        centres = pivots[some]
+        home = np.concatenate([(pivots[s : s + 4096] @ centres.T).argmax(1) for s in range(0, n, 4096)])
+        self.order = np.argsort(home, kind="stable")
+        self.points, self.groups = pivots[self.order], centres
+        self.ends = np.concatenate(([0], np.cumsum(np.bincount(home, minlength=len(centres)))))
+        away = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", self.points, centres[np.sort(home)].astype(np.float64))))
+        self.radii = np.array([away[a:b].max(initial=0.0) for a, b in zip(self.ends, self.ends[1:])])
+
+    def near(self, u: np.ndarray, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, pivot and distance of all pairs that can matter, by row and distance."""
+        if self.groups is None:
+            d = _between(u, x, self.points)
+            order = np.argsort(d, axis=1, kind="stable")
+            return np.repeat(np.arange(len(d)), d.shape[1]), order.ravel(), np.take_along_axis(d, order, 1).ravel()
+        d = _between(u, x, self.groups)
+        home = d.argmin(1)  # a group's centre is a pivot, so it bounds the nearest pivot's distance
+        visit = d - self.relax * self.radii <= (d[np.arange(len(d)), home] + 2 * self.relax * radius + 1e-6)[:, None]
+        visit[np.arange(len(d)), home] = True
+        rows, pivots, away = [], [], []
+        for g in np.flatnonzero(visit.any(0)):
+            mine, a, b = np.flatnonzero(visit[:, g]), self.ends[g], self.ends[g + 1]
+            rows.append(np.repeat(mine, b - a))
+            pivots.append(np.tile(self.order[a:b], len(mine)))
+            away.append(_between(u[mine], x[mine], self.points[a:b]).ravel())
+        row, pivot, away = np.concatenate(rows), np.concatenate(pivots), np.concatenate(away)
+        order = np.lexsort((pivot, away, row))
+        return row[order], pivot[order], away[order]
+
+
+def _between(u: np.ndarray, x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    d = np.sqrt(np.maximum(0, 2 - 2 * (x @ points.T))).astype(np.float64)
+    i, j = np.nonzero(d < CLOSE)
+    d[i, j] = _distances(u, points, i, j)
+    return d
+
+
+def _router(pivots: np.ndarray, labels: np.ndarray, dim: int, k: int, radius: float, relax: float, seed: int):
+    known = _Pivots(pivots, relax, seed)
+    step = max(16, (1 << 22) // max(len(pivots) if known.groups is None else FLAT_PIVOTS, 1))  # bounded matrices, however many pivots
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v, fits = batch_matrix(b.column("v"), dim, np.float32)
             u, good = _unit(v)
             if not len(u):
                 continue
-            ids, v = b.column("id").to_numpy(zero_copy_only=False)[fits][good], v[good]
+            ids, ask = (b.column(c).to_numpy(zero_copy_only=False)[fits][good] for c in ("id", "ask"))
+            v = v[good]
             x = u.astype(np.float32)
-            step = max(16, (1 << 23) // len(pivots))  # a bounded matrix, however many pivots
             for s in range(0, len(u), step):
-                d = np.sqrt(np.maximum(0, 2 - 2 * (x[s : s + step] @ pivots.T))).astype(np.float64)
-                i, j = np.nonzero(d < CLOSE)
-                d[i, j] = _distances(u[s : s + step], pivots, i, j)
-                home = d.argmin(1)
-                reach = np.full(len(d), radius)
-                if len(pivots) > k:
-                    bound = np.partition(d, k, axis=1)[:, k]
-                    reach = np.minimum(reach, bound + np.where(bound < CLOSE, 2e-6, 1e-3))  # rounding, also of the cosines that are compared
-                row, cell = np.nonzero(d <= (d[np.arange(len(d)), home] + 2 * relax * reach)[:, None])
+                row, cell, d = known.near(u[s : s + step], x[s : s + step], radius)
+                starts = np.flatnonzero(np.diff(row, prepend=-1))
+                sizes = np.diff(np.append(starts, len(row)))
+                reach = np.full(len(starts), radius)
+                enough = sizes > k
+                bound = d[starts[enough] + k]
+                reach[enough] = np.minimum(reach[enough], bound + np.where(bound < CLOSE, 2e-6, 1e-3))  # rounding, also of the cosines that are compared
+                home = np.arange(len(row)) == np.repeat(starts, sizes)
+                asks = ask[s : s + step]
+                keep = home | (np.repeat(asks, sizes) & (d <= np.repeat(d[starts] + 2 * relax * reach, sizes)))
+                row, cell, home = row[keep], cell[keep], home[keep]
                 out = v[s : s + step][row]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(row) + 1) * dim, dim, dtype=np.int32)), pa.array(out.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(labels[cell]), pa.array(cell == home[row]), pa.array(reach[row].astype(np.float32)), pa.array(ids[s : s + step][row]), lists], ["shard", "home", "reach", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(labels[cell]), pa.array(home), pa.array(asks[row]), pa.array(reach[row].astype(np.float32)), pa.array(ids[s : s + step][row]), lists], ["shard", "home", "ask", "reach", "id", "v"])
 
     return run
 
@@ -162,24 +254,25 @@ def _searcher(dim: int, k: int, min_cosine: float, relax: float, trees: int, lea
     def run(table: pa.Table) -> pa.Table:
         v, _ = batch_matrix(table["v"], dim, np.float32)
         ids, first = np.unique(table["id"].to_numpy(), return_index=True)
-        home, reach = table["home"].to_numpy()[first], table["reach"].to_numpy()[first]
+        home, ask, reach = (table[c].to_numpy()[first] for c in ("home", "ask", "reach"))
         u, _ = _unit(v[first])
-        a, b, c = search(u, ids, np.flatnonzero(home), reach, k, min_cosine, relax, trees, leaf, seed)
+        a, b, c = search(u, ids, np.flatnonzero(home), reach, k, min_cosine, relax, trees, leaf, seed, np.flatnonzero(ask))
         return pa.table({"a": pa.array(a), "b": pa.array(b), "c": pa.array(c)})
 
     return run
 
 
-def search(u: np.ndarray, ids: np.ndarray, members: np.ndarray, reach: np.ndarray, k: int, min_cosine: float, relax: float, trees: int, leaf: int, seed: int):
-    """All rows of ``u`` as queries against the rows ``members``: ids a and b and their cosine, at
-    most the k best b of each a. ``reach`` bounds how far the wanted neighbours of a row are.
-    ``ids`` and ``members`` ascend."""
+def search(u: np.ndarray, ids: np.ndarray, members: np.ndarray, reach: np.ndarray, k: int, min_cosine: float, relax: float, trees: int, leaf: int, seed: int, asking: np.ndarray | None = None):
+    """The rows ``asking`` of ``u`` (default: all) as queries against the rows ``members``: ids a and b
+    and their cosine, at most the k best b of each a. ``reach`` bounds how far the wanted neighbours
+    of a row are. ``ids``, ``members`` and ``asking`` ascend."""
+    asking = np.arange(len(u)) if asking is None else asking
     x = np.ascontiguousarray(u, dtype=np.float32)
     rng = np.random.default_rng(seed)
     slack = (np.asarray(reach) * min(relax, 1.0)).astype(np.float32)
     key, held = [np.empty(0, np.int64)], 0
     for _ in range(1 if relax >= 1 or len(members) <= leaf else trees):
-        for q, m in _one_tree(u, x, members, slack, k, min_cosine, leaf, rng):
+        for q, m in _one_tree(u, x, members, asking, slack, k, min_cosine, leaf, rng):
             key.append(np.minimum(q, m).astype(np.int64) * len(x) + np.maximum(q, m))
             held += len(q)
             if held > MOST_PAIRS:
@@ -189,6 +282,9 @@ def search(u: np.ndarray, ids: np.ndarray, members: np.ndarray, reach: np.ndarra
                     key = [np.unique(np.minimum(q, m) * len(x) + np.maximum(q, m))]
                 held = max(0, len(key[0]) - len(x) * k)  # what can't be less doesn't count
     q, m, c = _best(u, np.unique(np.concatenate(key)), k, min_cosine)
+    asked = np.zeros(len(u), bool)
+    asked[asking] = True
+    q, m, c = q[asked[q]], m[asked[q]], c[asked[q]]  # the others have met only some of their neighbours
     return ids[q], ids[m], c
 
 
@@ -225,9 +321,9 @@ def _to_vantage(u: np.ndarray, x: np.ndarray, rows: np.ndarray, vantage: int) ->
     return d
 
 
-def _one_tree(u: np.ndarray, x: np.ndarray, members: np.ndarray, slack: np.ndarray, k: int, min_cosine: float, leaf: int, rng) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Builds one tree over ``members``, sends all rows down it together and yields pairs."""
-    stack = [(members, np.arange(len(x)))]
+def _one_tree(u: np.ndarray, x: np.ndarray, members: np.ndarray, asking: np.ndarray, slack: np.ndarray, k: int, min_cosine: float, leaf: int, rng) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Builds one tree over ``members``, sends the asking rows down it together and yields pairs."""
+    stack = [(members, asking)]
     while stack:
         m, q = stack.pop()
         if not len(m) or not len(q):

@@ -64,7 +64,7 @@ def test_few_rows(spark):
     assert found(spark, [], dim=3) == set()
     assert found(spark, [(1, [1, 2, 3])], dim=3) == set()
     assert found(spark, [(1, [0, 0, 0]), (2, [0, 0, 0])], dim=3) == set()
-    for bad in (dict(min_cosine=0), dict(relax=1.5), dict(k=0)):
+    for bad in (dict(min_cosine=-2), dict(relax=1.5), dict(k=0)):
         with pytest.raises(ValueError):
             found(spark, [], dim=3, **bad)
 
@@ -119,11 +119,56 @@ def test_multiples_of_a_vector_beyond_the_smallest_ids(spark):
     assert found(spark, every, dim=8, k=5, relax=1.0, shard_rows=60, leaf=8) == brute(every, 8, 5, 0.9)
 
 
-def test_multiples_share_a_direction(spark):
-    rows = [([float(f) * x for x in (1.0, -0.5, 0.0, 3.0)],) for f in range(1, 40)] + [([1.0, -0.5, -0.0, 3.0],)]
-    other = [([-1.0, 0.5, 0.0, -3.0],), ([1.0, -0.5, 0.0, 3.0000002],)]
-    df = spark.createDataFrame(rows + other, "v array<float>")
-    assert df.select(neighbours._direction(df.v)).distinct().count() == 3
+def test_multiples_share_a_direction():
+    v = np.array([[float(f) * x for x in (1.0, -0.5, 0.0, 3.0)] for f in range(1, 40)] + [[1.0, -0.5, -0.0, 3.0]], np.float32)
+    other = np.array([[-1.0, 0.5, 0.0, -3.0], [1.0, -0.5, 0.0, 3.0000002]], np.float32)
+    exact, _ = neighbours.direction_hashes(np.concatenate((v, other)), neighbours._unit(np.concatenate((v, other)))[0])
+    assert len(set(exact.tolist())) == 3
+    rng = np.random.default_rng(3)
+    w = (rng.standard_normal(64) * 10 ** rng.uniform(-3, 3, (5000, 1))).astype(np.float32)
+    u, _ = neighbours._unit(w)
+    exact, cell = neighbours.direction_hashes(w, u)
+    assert len(set(exact.tolist())) > 4000 and len(set(cell.tolist())) < 1500
+    for g in list(set(cell.tolist()))[:50]:
+        assert (np.round(u[cell == g] @ u[cell == g].T, 12) == 1).all()
+
+
+def test_a_hot_direction_of_rounded_multiples(spark):
+    rng = np.random.default_rng(4)
+    w = rng.standard_normal(16)
+    rows = [(1000 + int(i), (w * f).astype(np.float32).tolist()) for i, f in zip(rng.permutation(900), 10 ** rng.uniform(-2, 2, 900))]
+    rows += [(5000 + i, (w + 0.05 * rng.standard_normal(16)).astype(np.float32).tolist()) for i in range(30)] + [(10_000 + i, v) for i, v in families(200, 16, 5)]
+    want = brute(rows, 16, 5, 0.9)
+    for kw in (dict(relax=1.0, shard_rows=200), dict(shard_rows=400)):
+        got = found(spark, rows, dim=16, k=5, leaf=32, **kw)
+        assert len(got & want) / len(want) >= 0.98 and len(got - want) / len(got) <= 0.02
+
+
+def test_no_least_cosine(spark):
+    rows = families(500, 12, 7)
+    assert found(spark, rows, dim=12, k=4, min_cosine=None, relax=1.0, shard_rows=60, leaf=16) == brute(rows, 12, 4, -1)
+    want = brute(rows, 12, 4, -1)
+    got = found(spark, rows, dim=12, k=4, min_cosine=None, relax=0.3, shard_rows=200)
+    assert len(got & want) / len(want) >= 0.9
+
+
+def test_groups_of_pivots_lose_nothing(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((40, 6))[rng.integers(40, size=900)] + 0.2 * rng.standard_normal((900, 6))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = u[:300].astype(np.float32)
+    flat = neighbours._Pivots(pivots, 1.0, 1)
+    monkeypatch.setattr(neighbours, "FLAT_PIVOTS", 10)
+    for relax in (1.0, 0.07):
+        grouped = neighbours._Pivots(pivots, relax, 1)
+        for r in (0.1, 0.45):
+            sets = []
+            for known in (flat, grouped):
+                row, cell, d = known.near(u, u.astype(np.float32), r)
+                starts = np.flatnonzero(np.diff(row, prepend=-1))
+                least = np.repeat(d[starts], np.diff(np.append(starts, len(row))))
+                sets.append(set(zip(row[d <= least + 2 * relax * r].tolist(), cell[d <= least + 2 * relax * r].tolist())))
+            assert len(sets[1] & sets[0]) >= (0.9999 if relax == 1 else 0.9) * len(sets[0])
 
 
 def test_shards_get_partitions_of_their_own(spark):
