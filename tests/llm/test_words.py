@@ -42,10 +42,10 @@ def brute(rows, weight, a=0.75):
 
 
 @pytest.mark.parametrize("weight", ["ppmi", "bm25"])
-@pytest.mark.parametrize("split", [False, True])
-def test_weights(spark, monkeypatch, weight, split):
-    if split:  # as if the counts were too large to broadcast: hot terms apart
-        monkeypatch.setattr(distinctive, "broadcast_if_small", lambda df, *_: df)
+@pytest.mark.parametrize("limit", [8 << 20, 200, 10])
+def test_weights(spark, monkeypatch, weight, limit):
+    if limit < 1000:  # as if the counts, or those of the hot terms too, were too large to broadcast
+        monkeypatch.setattr(distinctive, "BROADCAST_TERMS", limit)
         monkeypatch.setattr(distinctive, "HOT_SHARE", 6)
     want = brute(ROWS, weight)
     got = term_weights(frame(spark, ROWS), weight=weight).collect()
@@ -92,6 +92,14 @@ def test_frequencies_of_a_hot_term_and_small_batches(spark):
     assert got["hot"] == (1000, 500) and got["long"] == (20_000, 1) and got["w0"] == (72, 72)
 
 
+def test_few_terms_held_at_once(spark):
+    rows = [(i % 60, " ".join(f"w{(i * j) % 37}" for j in range(12)) + " all") for i in range(120)]
+    rows += rows[:30]
+    want = {r.term: (r.occurrences, r.records) for r in term_frequencies(frame(spark, rows)).collect()}
+    assert want["all"][1] == 60
+    assert {r.term: (r.occurrences, r.records) for r in term_frequencies(frame(spark, rows), held=1).collect()} == want
+
+
 @pytest.mark.parametrize("batch", [1, 2, 10_000])
 def test_an_id_with_several_texts_is_one_record_of_a_term(spark, batch):
     rows = [(i % 40, f"alpha beta{i % 3} {'alpha ' * (i % 4)}v{i}") for i in range(200)]
