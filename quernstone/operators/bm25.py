@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import term_counts, word_count, words
-from .bounds import spread
+from .bounds import checkpoint, spread
 from .topk import check_k
 
 # Term saturation and length weight of the score.
@@ -58,9 +58,10 @@ def text_top_k(docs: DataFrame, query: str, k: int, *, where: Column | None = No
     A query word counts as often as it is in the query. ``where`` restricts documents before N, df
     and avgdl are taken. An empty query, ``k`` 0 or an empty table gives an empty result.
 
-    Three scans, no shuffle of documents: one counts documents and words; the others cut only texts
-    that contain a query word as a string, for df and for the ranking. For many queries over the same
-    rows keep the postings and use ``text_top_k_from_postings``.
+    One pass over the texts, no shuffle of them: each text is cut if it contains a query word as a
+    string and else only counted; ids, lengths and counts of the query's words go to the checkpoint
+    folder. N, df, avgdl and the ranking come from there. For many queries over the same rows keep
+    the postings and use ``text_top_k_from_postings``.
     """
     check_k(k)
     counts = query_words(docs.sparkSession, query)
@@ -72,18 +73,18 @@ def text_top_k(docs: DataFrame, query: str, k: int, *, where: Column | None = No
     if not terms or not k:
         return docs.select(*keep, F.lit(0.0).alias("score")).select(*out).limit(0)
     small = F.lower(F.translate(F.col(text_col), "\u03a3", "\u03c3"))
-    holding = spread(docs.select(*keep, text_col)).where(reduce(Column.__or__, [F.contains(small, F.lit(t)) for t in terms])).select(*keep, words(F.col(text_col)).alias("_w"))
-    tf = [(F.size("_w") - F.size(F.array_remove("_w", t))).cast("double").alias(f"_t{i}") for i, t in enumerate(terms)]
-    counted = holding.select(*keep, F.size("_w").cast("double").alias("_dl"), *tf)
-    df = counted.agg(*[F.coalesce(F.sum((F.col(f"_t{i}") > 0).cast("double")), F.lit(0.0)).alias(f"_df{i}") for i in range(len(terms))])
-    stats = corpus_stats(docs, text_col).select(F.col("n").cast("double").alias("_n"), F.col("avgdl").alias("_avgdl")).crossJoin(df)  # one row each
-    parts = [F.lit(float(counts[t])) * F.when(F.col(f"_t{i}") > 0, term_score(F.col(f"_t{i}"), F.col(f"_df{i}"), F.col("_dl"), F.col("_n"), F.col("_avgdl"))).otherwise(0.0)
-             for i, t in enumerate(terms)]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    scored = counted.where(" or ".join(f"_t{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
-    return (scored.select(*keep, F.round(total, digits).alias("score")).where("score > 0").select(*out).orderBy(F.desc("score"), id_col).limit(k))
+    holds = F.coalesce(reduce(Column.__or__, [F.contains(small, F.lit(t)) for t in terms]), F.lit(False))
+    cut = spread(docs.select(*keep, text_col)).select(*keep, text_col, F.when(holds, words(F.col(text_col))).alias("_w"))
+    tf = [F.coalesce(F.size("_w") - F.size(F.array_remove("_w", t)), F.lit(0)).cast("double").alias(f"_t{i}") for i, t in enumerate(terms)]
+    length = F.when(F.col("_w").isNotNull(), F.size("_w")).otherwise(word_count(F.col(text_col))).cast("double").alias("_dl")
+    counted = checkpoint(cut.select(*keep, length, *tf))
+    stats = counted.agg(F.count("*").cast("double").alias("n"), F.sum("_dl").alias("words"), *[F.sum((F.col(f"_t{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(terms))]).first()
+    if not stats["n"]:
+        return counted.select(*keep, F.lit(0.0).alias("score")).select(*out)
+    n, avgdl = F.lit(stats["n"]), F.lit(max(stats["words"] / stats["n"], 1.0))
+    parts = [F.lit(float(counts[t])) * F.when(F.col(f"_t{i}") > 0, term_score(F.col(f"_t{i}"), F.lit(stats[f"df{i}"]), F.col("_dl"), n, avgdl)).otherwise(0.0) for i, t in enumerate(terms)]
+    scored = counted.where(" or ".join(f"_t{i} > 0" for i in range(len(terms)))).select(*keep, F.round(reduce(Column.__add__, parts), digits).alias("score"))
+    return scored.where("score > 0").select(*out).orderBy(F.desc("score"), id_col).limit(k)
 
 
 def text_top_k_from_postings(post: DataFrame, stats: DataFrame, query: str, k: int, digits: int = 9) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,15 +24,25 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
 
 def scratch_folder(spark: SparkSession, prefix: str) -> str:
     """A new folder that all executors reach: under ``spark.checkpoint.dir``, or, in a local
-    session that has none, a temporary one."""
+    session that has none, under a temporary one that is removed when Python ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="scratch-")
+        base = _local_base()
     return f"{base.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 
+_BASES: list[str] = []
+
+
+def _local_base() -> str:
+    if not _BASES:
+        _BASES.append(tempfile.mkdtemp(prefix="scratch-"))
+        atexit.register(shutil.rmtree, _BASES[0], ignore_errors=True)
+    return _BASES[0]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, its lineage cut.
 

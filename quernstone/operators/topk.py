@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..errors import SchemaError
 from ..functions.vector import Metric, check_query, score
+from .bounds import checkpoint
 
 #: Bytes of query vectors that one task holds at once; more queries run in several passes.
 QUERY_BYTES = 64 << 20
@@ -81,7 +82,8 @@ def batch_top_k(df: DataFrame, queries: DataFrame, k: int, metric: Metric | str
     One pass over ``df`` serves all queries: each task multiplies its rows with the block of
     queries and keeps ``k`` per query, so only ``k`` rows per task and query are shuffled. When
     the queries exceed ``query_bytes``, they are cut into blocks by hash and ``df`` is read once
-    per block. Scores are rounded to ``digits`` before ranking; equal scores: smaller id first.
+    per block; a block's result is written to the checkpoint folder before the next block is taken,
+    so the driver never holds more than one. Scores are rounded to ``digits`` before ranking; equal scores: smaller id first.
     Ids of both sides must be integers. Vectors that are null, of another length than ``dim`` or
     hold nulls or non-finite elements take no part, nor do zero vectors under cosine; such
     queries give no rows, and a repeated query id counts once. Empty input gives an empty result.
@@ -97,8 +99,8 @@ def batch_top_k(df: DataFrame, queries: DataFrame, k: int, metric: Metric | str
         q, fits = batch_matrix(rows["qv"], dim)
         good = np.isfinite(q).all(1) & ((q != 0).any(1) if metric is Metric.COSINE else True)
         block = (rows["qid"].to_numpy()[fits][good].astype(np.int64), q[good])
-        parts.append(df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.size("v") == dim).where("id is not null")
-                     .mapInArrow(_scorer(block, k, metric, dim, digits), schema))
+        part = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.size("v") == dim).where("id is not null").mapInArrow(_scorer(block, k, metric, dim, digits), schema)
+        parts.append(checkpoint(part) if blocks > 1 else part)
     found = reduce(DataFrame.unionByName, parts)
     w = W.partitionBy("qid").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("qid", "rank", "id", "score")

@@ -194,6 +194,16 @@ def _equals(value: Value) -> _Test:
     return test
 
 
+def _one_of(kind: str, values: list[Value]) -> _Test:
+    """One IN over all values of a kind: it stays one node for Catalyst and reaches the scan."""
+    sound = [v for v in dict.fromkeys(bytes(v) if kind == "y" else v for v in values) if not (kind == "f" and math.isnan(v))]
+
+    def test(c: Column, k: str) -> Column | None:
+        return c.isin([F.lit(bytearray(v)) if kind == "y" else F.lit(v) for v in sound]) if k == kind and sound else None
+
+    return test
+
+
 def _bounded(lo: int | float | None, hi: int | float | None, strict_lo: bool = False, strict_hi: bool = False, whole: bool = False) -> _Test:
     """lo/hi None: open. Integer columns are compared with integers, never through doubles."""
 
@@ -236,7 +246,7 @@ def _leaf(node: Node, fields: Fields | FaithfulMeta) -> tuple[Column | None, boo
     if isinstance(node, (Eq, Neq)):
         return fields.any_value(node.field, _equals(node.value)), isinstance(node, Neq)
     if isinstance(node, In):
-        tests = [t for v in node.values if (t := fields.any_value(node.field, _equals(v))) is not None]
+        tests = [t for kind in dict.fromkeys(map(kind_of, node.values)) if (t := fields.any_value(node.field, _one_of(kind, [v for v in node.values if kind_of(v) == kind]))) is not None]
         return (reduce(Column.__or__, tests) if tests else None), False
     if isinstance(node, Range):
         lo, hi = _check_bound(node.lo), _check_bound(node.hi)
@@ -276,7 +286,7 @@ def _compile(node: Node, fields: Fields | FaithfulMeta, bare: bool) -> Column:
     if test is None:
         return F.lit(negated)
     if negated or not bare:
-        test = F.coalesce(test, F.lit(False)) if isinstance(node, (Range, Compare)) else test
+        test = F.coalesce(test, F.lit(False)) if isinstance(node, (In, Range, Compare)) else test
     return ~test if negated else test
 
 
