@@ -322,7 +322,7 @@ def _sound(column: pa.ListArray, dim: int, metric: Metric) -> tuple[np.ndarray,
 
 def _scores(q: np.ndarray, x: np.ndarray, metric: Metric, digits: int) -> np.ndarray:
     s, own, lengths = q @ x.T, (q * q).sum(1)[:, None], (x * x).sum(1)
-    return np.round(s / np.sqrt(own * lengths) if metric is Metric.COSINE else 2 * s - own - lengths, digits)
+    return np.round(s / np.sqrt(own * lengths) if metric is Metric.COSINE else 2 * s - own - lengths, digits) + 0.0  # no -0
 
 
 def _probes_needed(stored: DataFrame, centres: Centres, metric: Metric, dim: int, n: int, config: IvfConfig, k: int = 10) -> int:

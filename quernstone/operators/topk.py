@@ -124,7 +124,7 @@ def _scorer(block: tuple[np.ndarray, np.ndarray], k: int, metric: Metric, dim: i
                     s /= norms[a : a + 256, None] * np.sqrt((x * x).sum(1))
                 elif metric is Metric.L2:
                     s = 2 * s - norms[a : a + 256, None] ** 2 - (x * x).sum(1)
-                s = np.round(s, digits)
+                s = np.round(s, digits) + 0.0  # no -0
                 for i, row in enumerate(s, a):
                     best = best_positions(ids, row, k)
                     all_ids, all_scores = np.concatenate((ids_of[i], ids[best])), np.concatenate((scores_of[i], row[best]))

@@ -8,15 +8,20 @@ event_id; an error event deletes).
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .api import connect
+from .errors import SchemaError, StorageError, TransactionError
 from .functions import text as text_fn, vector as vec
-from .operators import ann, bm25, changes, fusion, incremental, liveview, topk
+from .operators import ann, bm25, changes, fusion, incremental, liveview, timing, topk
 from .operators.bounds import scratch_folder
 from .plans import Compare, Eq, FaithfulMeta, Fields, In, NotPresent, Present, Range, filter_column, parse_where, value_column
+from .plans.predicate import coerce_where
+from .sources import synth
+from .streaming import stream_into
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,13 +124,26 @@ def vec_topk_batch(spark, folder):
     return topk.batch_top_k(v, queries, 10, "dot", dim=64)
 
 
-@query("""select count(*) as queries, cast(10 as bigint) as k, 1.0::double as mean_recall, 1.0::double as min_recall, true as passed
-  from embeddings where vec_id % 100 = 0""")
-def recall_exact_vs_exact(spark, folder):
+@query(f"""with s as (select a.vec_id as qid, b.vec_id as id, round({_L2.format(a='a.embedding', b='b.embedding')}, 9) as score from embeddings a, embeddings b where a.vec_id % 100 = 0),
+  t as (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from s qualify rank <= 10),
+  p as (select qid, count(*) filter (rank > qid // 100 % 4 and qid <> 100)::double / 10 as recall from t group by qid)
+  select count(*) as queries, cast(10 as bigint) as k, round(avg(recall), 9) as mean_recall, round(min(recall), 9) as min_recall, avg(recall) >= 0.998 as passed from p""")
+def recall_of_damaged_ranking(spark, folder):
+    """Query q lost its first q / 100 mod 4 hits, query 100 all of them; false hits came instead."""
     v = _vectors(spark, folder)
     queries = v.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("qvector"))
-    blocked = topk.batch_top_k(v, queries, 10, "l2", dim=64, query_bytes=8 * 64 * 4)
-    return topk.recall_at_k(blocked, topk.batch_top_k(v, queries, 10, "l2", dim=64), 10)
+    truth = topk.batch_top_k(v, queries, 10, "l2", dim=64, query_bytes=8 * 64 * 4)
+    kept = truth.where("rank > cast(qid / 100 as bigint) % 4 and qid <> 100").select("qid", "id")
+    false = truth.select("qid", (F.col("id") + 1_000_000).alias("id"))
+    r = topk.recall_at_k(kept.unionByName(false), truth, 10)
+    return r.withColumns({c: F.round(c, 9) for c in ("mean_recall", "min_recall")})
+
+
+@query(_top_sql(_COS).replace("limit 10", "limit 100000"))
+def vec_topk_beyond_table(spark, folder):
+    v = _vectors(spark, folder)
+    none = topk.exact_top_k(v, _first_vector(v), 0, "cosine", digits=9)
+    return none.unionByName(topk.exact_top_k(v, _first_vector(v), 100_000, "cosine", digits=9))
 
 
 @query()
@@ -137,13 +155,37 @@ def ann_topk(spark, folder):
     return ann.indexed_search(index, nothing, _first_vector(v), 10, "cosine")
 
 
-@query()
+@query("select count(*) as queries, true as at_least_09 from embeddings where vec_id % 100 = 0")
 def ann_recall(spark, folder):
     """Recall of the index for every query id divisible by 100, against the exact ranking."""
     v = _vectors(spark, folder)
     index = ann.IvfIndex.build(v, scratch_folder(spark, "index"), "l2", 64)
     queries = v.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("qvector"))
-    return topk.recall_at_k(index.batch_search(queries, 10), topk.batch_top_k(v, queries, 10, "l2", dim=64), 10)
+    recall = topk.recall_at_k(index.batch_search(queries, 10), topk.batch_top_k(v, queries, 10, "l2", dim=64), 10)
+    return recall.select("queries", (F.col("mean_recall") >= 0.9).alias("at_least_09"))
+
+
+@query(f"""with s as (select a.vec_id as qid, b.vec_id as id, round({_L2.format(a='a.embedding', b='b.embedding')}, 9) as score from embeddings a, embeddings b where a.vec_id % 100 = 0)
+  select qid, cast(row_number() over (partition by qid order by score desc, id) as bigint) as rank, id, score from s qualify rank <= 10""")
+def ann_all_lists(spark, folder):
+    """Reading every list makes the index exact; queries are joined with their lists."""
+    v = _vectors(spark, folder)
+    index = ann.IvfIndex.build(v, scratch_folder(spark, "index"), "l2", 64)
+    queries = v.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("qvector"))
+    return index.batch_search(queries, 10, probes=len(index.centres), query_bytes=8 * 64)
+
+
+@query(f"""with {_Q}, e as (select vec_id as id, case when vec_id % 10 = 1 then list_transform(embedding, lambda x: (0.0 - x)::float) else embedding end as v,
+    case when vec_id % 10 = 1 then vec_id + 100001 else vec_id + 1 end as seq from embeddings where vec_id % 7 <> 3 or vec_id % 10 = 1)
+  select id, round({_L2.format(a='v', b='qv')}, 9) as score, seq from e, q order by score desc, id limit 20""")
+def ann_search_with_tail(spark, folder):
+    """Sealed vectors of which newer changes delete some and turn others around; all lists are read."""
+    v = _vectors(spark, folder)
+    index = ann.IvfIndex.build(v, scratch_folder(spark, "index"), "l2", 64)
+    turned = v.where("id % 10 = 1").select("id", (F.col("seq") + 100_000).alias("seq"), F.transform("vector", lambda x: (-x).cast("float")).alias("vector"), F.lit("upsert").alias("op"))
+    gone = v.where("id % 7 = 3 and id % 10 <> 1").select("id", (F.col("seq") + 100_000).alias("seq"), F.lit(None).cast("array<float>").alias("vector"), F.lit("delete").alias("op"))
+    found = ann.indexed_search(index, turned.unionByName(gone), _first_vector(v), 20, "l2", probes=len(index.centres))
+    return found.withColumn("score", F.round("score", 9))
 
 
 # -- filters ---------------------------------------------------------------------------------
@@ -197,9 +239,25 @@ def where_not_equal_of_absent(spark, folder):
     return _matching(spark, folder, parse_where("NOT (year = 2015)"))
 
 
-@query(_records_sql("false"))
+@query(_records_sql("meta_year = 2016 or meta_ok"))
 def where_type_sensitive(spark, folder):
-    return _matching(spark, folder, Eq("year", 2015.0) | In("lang", (1, True)) | Compare("lang", ">", 3))
+    """Values only match fields of their own type."""
+    return _matching(spark, folder, Eq("year", 2015.0) | Eq("year", 2016) | In("ok", (1, True, "true")) | Compare("lang", ">", 3))
+
+
+@query(_records_sql("meta_lang = 'de' and meta_ok"))
+def where_dict(spark, folder):
+    return _matching(spark, folder, coerce_where({"lang": "de", "ok": True}))
+
+
+@query(_records_sql("meta_lang in ('en', 'fr') and meta_year between 2012 and 2018 and meta_score is not null"))
+def where_list(spark, folder):
+    return _matching(spark, folder, coerce_where([{"in": {"field": "lang", "values": ["en", "fr", 5]}}, {"range": {"field": "year", "lo": 2012, "hi": 2018}}, {"present": "score"}]))
+
+
+@query(_records_sql("true"))
+def where_nothing(spark, folder):
+    return _matching(spark, folder, coerce_where(None))
 
 
 @query("""select external_id as id, coalesce(meta_year >= 2015, false) or not coalesce(meta_score <= 3.5 and not isnan(meta_score), false) as verdict from records""")
@@ -320,6 +378,14 @@ def rrf_hybrid_filtered(spark, folder):
     return _hybrid(spark, folder, True)
 
 
+@query("""with h as (select query_id, path, external_id, max(score) as score from hits where not isnan(score) and query_id is not null and path is not null and external_id is not null group by all),
+  r as (select *, row_number() over (partition by query_id, path order by score desc, external_id) as place from h),
+  f as (select query_id, external_id, round(sum(1.0::double / (60 + place)), 9) as score from r group by all)
+  select query_id, external_id, score, cast(row_number() over (partition by query_id order by score desc, external_id) as bigint) as rank from f qualify rank <= 25""")
+def rrf_by_key(spark, folder):
+    return fusion.rrf_by_key(table(spark, folder, "hits"), 25)
+
+
 # -- live view and change feeds ----------------------------------------------------------------
 
 _LATEST = "(select *, row_number() over (partition by user_id order by event_id desc) as rn from events)"
@@ -379,6 +445,162 @@ def store_after_checkpoint(spark, folder):
     return connect(spark, at).frame().select("id", "text")
 
 
+def _store(spark, folder):
+    """A collection with all vectors, committed."""
+    v, at = _vectors(spark, folder).select("id", "vector"), scratch_folder(spark, "collection")
+    c = connect(spark, at, metric="l2")
+    c.add_frame(v.orderBy("id").coalesce(1).withColumn("text", F.lit("first")))
+    return c, v, at
+
+
+@query("select vec_id as id, row_number() over (order by vec_id) as seq from embeddings")
+def store_scan(spark, folder):
+    """Records in the order of their changes."""
+    return _store(spark, folder)[0].scan().select("id", "seq")
+
+
+@query("""select vec_id as id, case when vec_id = 3 then 'third' when vec_id in (5, 6) then 'kept' else 'first' end as text from embeddings where vec_id not in (0, 7, 14)
+  union all select 1000001, 'new'""")
+def store_transactions(spark, folder):
+    """A transaction that fails, one that holds, a rollback, single and batch writes; read by another handle."""
+    c, v, at = _store(spark, folder)
+    try:
+        with c.transaction():
+            c.delete([1, 2])
+            c.upsert(4, [0.0] * 64, "lost")
+            raise KeyError("the caller's error")
+    except KeyError:
+        pass
+    with c.transaction():
+        c.delete([0, 7, 14])
+        c.upsert(3, [1.0] * 64, "third")
+        c.upsert(1_000_001, [2.0] * 64, "new")
+    c.autocommit = False
+    c.add([8, 9], [[0.0] * 64] * 2, ["lost", "lost"])
+    c.rollback()
+    c.add([5, 6], [[0.0] * 64] * 2, ["kept", "kept"])
+    c.commit()
+    c.delete(10)  # never committed
+    return connect(spark, at).frame().select("id", "text")
+
+
+@query("""select 'before' as view, count(*) as n, sum(vec_id)::bigint as ids from embeddings union all
+  select 'during', count(*), sum(vec_id)::bigint from embeddings union all
+  select 'after', count(*), sum(vec_id)::bigint from embeddings where vec_id % 3 <> 0""")
+def store_reader_during_write(spark, folder):
+    """Readers of a store before, during and after a transaction and two checkpoints of its writer."""
+    c, v, at = _store(spark, folder)
+    c.checkpoint(index=False)
+    before = connect(spark, at).frame()
+    with c.transaction():
+        c.store.delete(v.where("id % 3 = 0").select("id"))
+        during = connect(spark, at).frame()
+    c.checkpoint(index=False, prune_log=True)
+    c.checkpoint(index=False)
+    after = connect(spark, at).frame()
+    views = [f.agg(F.count("*").alias("n"), F.sum("id").alias("ids")).select(F.lit(name).alias("view"), "n", "ids") for name, f in (("before", before), ("during", during), ("after", after))]
+    return views[0].unionByName(views[1]).unionByName(views[2])
+
+
+@query("select vec_id as id, case when vec_id % 4 = 1 then 'second' else 'first' end as text from embeddings where vec_id % 4 <> 0")
+def store_without_snapshot(spark, folder):
+    """The snapshot is lost: everything comes from the log again."""
+    c, v, at = _store(spark, folder)
+    c.store.delete(v.where("id % 4 = 0").select("id"))
+    c.commit()
+    c.checkpoint(index=False)
+    c.add_frame(v.where("id % 4 = 1").withColumn("text", F.lit("second")))
+    c.store.files.remove(f"{at}/snapshots")
+    return connect(spark, at).frame().select("id", "text")
+
+
+@query("""select a.pos::bigint as pos, e.vec_id as id, case when e.vec_id is not null then 'first' end as text
+  from (values (0, 5), (1, 999999), (2, 0), (3, 5)) a(pos, id) left join embeddings e on e.vec_id = a.id""")
+def store_lookup(spark, folder):
+    """Several ids in the order asked, as the Python surface returns them."""
+    found = _store(spark, folder)[0].get([5, 999_999, 0, 5])
+    return spark.createDataFrame([(i, r and r["external_id"], r and r["text"]) for i, r in enumerate(found)], "pos long, id long, text string")
+
+
+def _refused(call) -> bool:
+    try:
+        call()
+    except (SchemaError, StorageError, TransactionError):
+        return True
+    return False
+
+
+_REFUSALS = ("other metric", "other safety", "empty batch", "lengths differ", "wrong dimension", "non-finite vector", "negative id", "mixed ids", "unknown delete", "empty delete", "nested transaction", "checkpoint in a transaction",
+             "query too long", "query not finite", "empty query", "zero cosine query", "negative k", "pool below k", "no hybrid query", "dot index", "NaN bound", "half a where", "unknown metric")
+
+
+@query("select case_name, refused from (values " + ", ".join(f"('{r}', true)" for r in _REFUSALS) + ", ('same metric', false), ('repeated id', false)) t(case_name, refused)")
+def store_refusals(spark, folder):
+    """What must be refused loudly, and what must not; nothing refused leaves a trace."""
+    c, v, at = _store(spark, folder)
+    n, nan, z = 64, float("nan"), [0.0] * 64
+
+    def nested():
+        with c.transaction():
+            with c.transaction():
+                pass
+
+    def inside():
+        with c.transaction():
+            c.checkpoint()
+
+    calls = (lambda: c.set_metric("dot"), lambda: connect(spark, at, safety="normal"), lambda: c.add([], []), lambda: c.add([1, 2], [z]), lambda: c.add([1], [[1.0]]), lambda: c.add([1], [[nan] * n]), lambda: c.add([-1], [z]),
+             lambda: c.add([1, "a"], [z, z]), lambda: c.delete([1, 777_777]), lambda: c.delete([]), nested, inside, lambda: c.search([0.0] * 65, 3), lambda: c.search([nan] * n, 3), lambda: c.search([], 3),
+             lambda: c.search(z, 3, metric="cosine"), lambda: c.search(z, -1), lambda: c.search(z, 5, pool=2), lambda: c.hybrid_search(3), lambda: ann.IvfIndex.build(v, at, "dot", n),
+             lambda: filter_column(Range("x", nan, 1), Fields.of(v)), lambda: parse_where("id ="), lambda: connect(spark, at, metric="manhattan"))
+    rows = [(name, _refused(call)) for name, call in zip(_REFUSALS, calls)]
+    rows += [("same metric", _refused(lambda: c.set_metric("l2"))), ("repeated id", _refused(lambda: c.add([1, 1], [z, z])))]
+    return spark.createDataFrame(rows, "case_name string, refused boolean")
+
+
+@query(f"select user_id as id, event_type as text from ({_LIVE_SQL})")
+def stream_into_store(spark, folder):
+    """The change log as a stream, applied to a store by micro-batches in the order of its numbers."""
+    at = scratch_folder(spark, "stream")
+    c = connect(spark, f"{at}/c", metric="l2")
+    kinds = {"norm": "float", "meta": c.store.settings.row_type().split("meta ", 1)[1]}
+    rows = _events(spark, folder).select(F.col("user_id").alias("id"), F.array(F.coalesce(F.col("value"), F.lit(0.0)).cast("float")).alias("vector"), *[F.lit(None).cast(t).alias(k) for k, t in kinds.items()],
+                                         F.col("event_type").alias("text"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"), F.col("event_id").alias("ord"))
+    middle = (rows.agg(F.max("ord")).first()[0] or 0) * 3 // 5
+    for half in (rows.where(F.col("ord") < middle), rows.where(F.col("ord") >= middle)):
+        half.coalesce(1).write.mode("append").parquet(f"{at}/in")
+        stream_into(c.store, spark.readStream.schema(rows.schema).parquet(f"{at}/in"), f"{at}/progress").awaitTermination()
+    return connect(spark, f"{at}/c").frame().select("id", "text")
+
+
+@query("select cast(vec_id + 1 as bigint) as id, round(embedding[1]::double, 9) as first, round(embedding[64]::double, 9) as last, 3 as queries from embeddings")
+def sift_file(spark, folder):
+    """A benchmark file of 128-dimensional vectors, written from the vectors twice over and loaded."""
+    v = _vectors(spark, folder).orderBy("id").select("vector").toArrow()["vector"]  # the loader is for files that one machine holds
+    x, _ = topk.batch_matrix(v, 64, "float32")
+    with tempfile.NamedTemporaryFile(suffix=".bin") as f:
+        synth.write_sift(f.name, [[*row, *row] for row in x.tolist()], [[*row, *row] for row in x[:3].tolist()])
+        rows, queries = synth.read_sift(spark, f.name)
+    return rows.select("id", F.round(F.get("vector", F.lit(0)).cast("double"), 9).alias("first"), F.round(F.get("vector", F.lit(127)).cast("double"), 9).alias("last"), F.lit(len(queries)).alias("queries"))
+
+
+@query("""select 'uniform' as kind, 2000::bigint as n, 2001000::bigint as ids, true as in_range, true as again union all select 'clustered', 2000, 2001000, true, true union all select 'queries', 50, 1275, true, true""")
+def generators(spark, folder):
+    """Ids, value ranges and repeatability of the generators."""
+    def row(kind, df, sound):
+        return df().agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.min(sound).alias("in_range")).select(F.lit(kind).alias("kind"), "n", "ids", "in_range", F.lit(df().exceptAll(df()).isEmpty()).alias("again"))
+
+    every = lambda low, high: (F.array_min("vector") >= low) & (F.array_max("vector") < high) & (F.size("vector") == 8)
+    asked = lambda: spark.createDataFrame(list(enumerate(synth.clustered_queries(50, 8, 5), 1)), "id long, vector array<double>")
+    return row("uniform", lambda: synth.uniform(spark, 2000, 8), every(0, 1)).unionByName(row("clustered", lambda: synth.clustered(spark, 2000, 8, 5), every(-0.5, 1.5))).unionByName(row("queries", asked, every(-1, 2)))
+
+
+@query("select event_type, count(*) as n, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99 from events where value is not null and not isnan(value) group by event_type")
+def timing_percentiles(spark, folder):
+    t = timing.timing_summary(table(spark, folder, "events"), "value", "event_type")
+    return t.withColumns({c: F.round(c, 6) for c in ("mean", "p50", "p95", "p99")})
+
+
 _ENTRIES = """e as (select seq, external_id, min(lifecycle) as lifecycle, bool_or(commit_seq is not null) as acked from segment_entries group by 1, 2),
   a as (select external_id, seq, lifecycle from records union all select external_id, seq, lifecycle from e where acked)"""
 
@@ -415,3 +637,40 @@ def liveness_semijoin(spark, folder):
 def latest_by_lifecycle(spark, folder):
     every = changes.acknowledged_changes(table(spark, folder, "records"), table(spark, folder, "segment_entries")).where("lifecycle in (0, 1)")
     return liveview.latest(every, "external_id", "seq").groupBy("lifecycle").agg(F.count("*").alias("n"))
+
+
+@query("""with f as (select seq, external_id, min(commit_seq) as first from segment_entries group by all having first is not null), m as (select quantile_disc(first, 0.5) as half from f)
+  select seq, external_id, case when first <= half then 1 else 2 end as run from f, m""")
+def incremental_two_runs(spark, folder):
+    """Half of the commits, then all of them, with a run between that dies before it publishes. Copies of
+    entries of the first run that are acknowledged later don't come again."""
+    entries = table(spark, folder, "segment_entries")
+    half = entries.groupBy("seq", "external_id").agg(F.min("commit_seq").alias("first")).where("first is not null").agg(F.expr("percentile_disc(0.5) within group (order by first)")).first()[0]
+    run = incremental.IncrementalRun(spark, scratch_folder(spark, "incremental"), key=("seq", "external_id"))
+
+    def job(number):
+        return lambda rows: rows.select("seq", "external_id", F.lit(number).alias("run"))
+
+    def die():
+        raise InterruptedError("executor and driver lost")
+
+    keys = ["seq", "external_id"]
+    run.run(entries.where(F.col("commit_seq") <= half), job(1), columns=keys)
+    try:
+        run.run(entries, job(-1), columns=keys, before_publish=die)
+    except InterruptedError:
+        pass
+    run.run(entries, job(2), columns=keys)
+    return run.result()
+
+
+@query(SQL["p2_found"])
+def change_files_compacted(spark, folder):
+    """Two batches of the feed in the wrong order, some of it twice, compacted in between."""
+    every = changes.acknowledged_changes(table(spark, folder, "records"), table(spark, folder, "segment_entries"))
+    files = changes.ChangeFiles(spark, scratch_folder(spark, "changes"), "external_id", "seq")
+    kinds = {"is_insert": F.col("lifecycle") == 0, "is_delete": F.col("lifecycle") == 1}
+    files.append(every.where("seq % 3 > 0"), **kinds)
+    files.compact()
+    files.append(every.where("seq % 3 < 2"), **kinds)
+    return files.read()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -59,6 +59,16 @@ def read_sift(spark: SparkSession, path: str) -> tuple[DataFrame, list[list[floa
     return rows, q.tolist()
 
 
+def write_sift(path: str, vectors: Sequence[Sequence[float]], queries: Sequence[Sequence[float]]) -> None:
+    """Writes such a file on the driver's disk."""
+    with open(path, "wb") as f:
+        for part, head in ((vectors, struct.pack("<QQ", len(vectors), SIFT_DIM)), (queries, struct.pack("<Q", len(queries)))):
+            x = np.asarray(part, dtype="<f4").reshape(len(part), -1)
+            if len(x) and x.shape[1] != SIFT_DIM:
+                raise StorageError(f"dimension {x.shape[1]}, expected {SIFT_DIM}")
+            f.write(head + x.tobytes())
+
+
 def append_jsonl(path: str, records: Iterable[Mapping]) -> None:
     """Adds benchmark records, one JSON object per line."""
     with open(path, "a", encoding="utf-8") as f:

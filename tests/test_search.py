@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quernstone.errors import SchemaError
 from quernstone.functions import text as tx, vector as vec
 from quernstone.functions.vector import Metric
-from quernstone.operators import bm25, fusion, topk
+from quernstone.operators import bm25, fusion, timing, topk
 
 POINTS = [(1, 10, [1.0, 0.0]), (2, 11, [0.9, 0.1]), (3, 12, [0.0, 1.0]), (4, 13, [-1.0, 0.0]), (5, 14, [0.0, 0.0]), (6, 15, None), (7, 16, [1.0]), (8, 17, [1.0, 0.0])]
 
@@ -194,3 +194,33 @@ def test_spread_touches_small_scans_only(spark, tmp_path):
     assert "Exchange" not in spread(eight)._jdf.queryExecution().executedPlan().toString()
     grouped = one.groupBy("id").count()
     assert spread(grouped) is grouped and spread(one.limit(0)).count() == 0
+
+
+def test_fusion_by_key(spark):
+    rows = [(1, "a", 5, 0.9), (1, "a", 5, 0.1), (1, "a", 6, 0.9), (1, "b", 6, 3.0), (1, "b", None, 9.0), (1, "b", 7, float("nan")), (2, None, 5, 1.0), (None, "a", 5, 1.0), (3, "a", 8, None), (4, "a", 2, 1.0), (4, "b", 1, 9.0)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "query_id long, path string, external_id long, score double, rank string, _k int")
+    got = [tuple(r) for r in fusion.rrf_by_key(df, 5).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 6, round(1 / 62 + 1 / 61, 9), 1), (1, 5, round(1 / 61, 9), 2), (4, 1, round(1 / 61, 9), 1), (4, 2, round(1 / 61, 9), 2)]
+    assert fusion.rrf_by_key(df, 0).count() == 0 and fusion.rrf_by_key(df.limit(0), 3).count() == 0
+    many = spark.range(20).select("id", F.col("id").cast("double").alias("score"))
+    assert fusion.rrf([many], 3, window=20).count() == 3
+    with pytest.raises(Exception, match="more than 19 hits"):
+        fusion.rrf([many], 3, window=19).collect()
+
+
+def test_timing_summary(spark):
+    df = spark.createDataFrame([("a", 1.0, 7), ("a", 3.0, 7), ("a", None, 7), ("a", float("nan"), 7), ("b", 2.0, 7), (None, 4.0, 7)], "k string, value double, n int")
+    got = {r.k: (r.n, r["mean"], r.p50, round(r.p99, 9)) for r in timing.timing_summary(df, "value", "k").collect()}
+    assert got == {"a": (2, 2.0, 2.0, 2.98), "b": (1, 2.0, 2.0, 2.0), None: (1, 4.0, 4.0, 4.0)}
+    assert timing.timing_summary(df.limit(0), "value").first().n == 0
+
+
+def test_one_in_for_all_values_of_a_kind(spark):
+    df = spark.range(100).select("id", F.col("id").cast("double").alias("x"))
+    from quernstone.plans import Fields, In, Not, filter_column
+
+    node = In("id", tuple(range(0, 5000, 7)))
+    plan = df.where(filter_column(node, Fields.of(df)))
+    assert plan.count() == 15 and " OR " not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert df.where(filter_column(Not(In("id", (1, 2))), Fields.of(df))).count() == 98
+    assert df.where(filter_column(In("x", (1, 2.0, float("nan"))), Fields.of(df))).count() == 1
