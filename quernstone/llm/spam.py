@@ -267,7 +267,7 @@ def _function_share(function: np.ndarray, sizes: np.ndarray, first: np.ndarray,
 
 #: Width of a cell in each feature. All features are bounded, so a language has some ten thousand cells
 #: at most, however large the corpus; of each the fit gets weight, sums and products.
-CELL = np.array([0.3, 0.2, 0.08, 0.04])
+CELL = np.array([0.4, 0.3, 0.1, 0.05])
 _TRI = np.triu_indices(_P)
 # Fixed values. Quantiles of chi-square with four degrees of freedom.
 CHI_HALF, CHI_75, CHI_975, CHI_999 = 3.357, 5.385, 11.143, 18.467
@@ -289,9 +289,14 @@ def cells_of(p: Passages) -> tuple[np.ndarray, np.ndarray]:
     if not len(p.text):
         return np.zeros((0, 1 + _P), np.int64), np.zeros((0, 1 + _P + len(_TRI[0])))
     w = p.sure**2 / np.bincount(p.text)[p.text]
-    keys, back = np.unique(np.column_stack((p.lang[p.text], np.floor(p.x / CELL).astype(np.int64))), axis=0, return_inverse=True)
+    at = np.clip(np.floor(p.x / CELL), 0, 4095).astype(np.int64)
+    packed = p.lang[p.text] + 1
+    for c in at.T:
+        packed = packed << 12 | c
+    packed, back = np.unique(packed, return_inverse=True)
+    keys = np.column_stack([(packed >> 12 * _P) - 1, *(packed >> 12 * i & 4095 for i in range(_P - 1, -1, -1))])
     columns = np.column_stack((w, w[:, None] * p.x, w[:, None] * p.x[:, _TRI[0]] * p.x[:, _TRI[1]]))
-    sums = np.stack([np.bincount(back.ravel(), c, len(keys)) for c in columns.T], 1)
+    sums = np.stack([np.bincount(back, c, len(keys)) for c in columns.T], 1)
     some = sums[:, 0] > 0
     return keys[some], sums[some]
 
