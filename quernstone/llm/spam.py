@@ -129,11 +129,12 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, declared in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
             if text:
                 lang = code_of(declared)
-                words = Counter(_WORD.findall(text.lower()))
-                of = texts.setdefault(lang, Counter())
-                of.update(words.keys())
-                of[""] += 1
-                times.setdefault(lang, Counter()).update(words)
+                words = _WORD.findall(text.lower())
+                if lang not in texts:
+                    texts[lang], times[lang] = Counter(), Counter()
+                texts[lang].update(set(words))
+                texts[lang][""] += 1
+                times[lang].update(words)
         for lang, of in texts.items():
             words = [w for w in of if not "0" <= w[:1] <= "9"]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()), pa.array([of[w] for w in words], pa.int64()), pa.array([times[lang][w] for w in words], pa.int64())], ["lang", "word", "texts", "times"])
@@ -168,7 +169,7 @@ class Reader:
 
     def _forget(self) -> None:
         self.code: dict[str, int] = {}
-        self.bits, self.digit = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.bits, self.digit, self.letters = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
 
     def _codes(self, words: list[str]) -> np.ndarray:
         if len(self.code) > self.remembered:
@@ -178,6 +179,7 @@ class Reader:
         known = self.lexicon.bits
         self.bits = np.concatenate((self.bits, np.array([known.get(w, 0) for w in new], np.int64)))
         self.digit = np.concatenate((self.digit, np.array(["0" <= w[0] <= "9" for w in new], bool)))
+        self.letters = np.concatenate((self.letters, np.array([LONGEST if w == _A_LINK else min(LONGEST, len(w)) for w in new], np.int64)))
         return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
 
     def read(self, texts: list[str | None], declared: list[str | None]) -> Passages:
@@ -203,10 +205,9 @@ class Reader:
             return Passages(lang, text, chars, np.zeros(0), np.zeros((0, _P)))
         of = lang[text[passage]]
         function = (of >= 0) & (self.bits[codes] >> np.maximum(of, 0) & 1 > 0)
-        letters = np.fromiter((LONGEST if w == _A_LINK else min(LONGEST, len(w)) for w in words), np.int64, len(words))
         first, last = np.searchsorted(text, text), np.searchsorted(text, text, "right") - 1
         counted = ~self.digit[codes]
-        repeats, disorder, density, sure = _around(codes[counted], passage[counted], letters, chars, sizes, first, last)
+        repeats, disorder, density, sure = _around(codes[counted], passage[counted], self.letters[codes], chars, sizes, first, last)
         share = _function_share(function, sizes, first, last)
         # Square roots of counts, and of a share as an angle: their scatter doesn't depend on their size.
         x = np.column_stack((np.sqrt(WINDOW * repeats + 0.375), np.sqrt(WINDOW * disorder + 0.375), np.arcsin(np.sqrt(share)), density))
