@@ -165,7 +165,7 @@ class IvfIndex:
     name = "ivf"
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self._lists = spark, folder, None
         text = Files(spark).read_text(f"{folder}/index.json")
         if text is None:
             raise StorageError(f"no index in {folder}")
@@ -227,8 +227,10 @@ class IvfIndex:
         return metric is self.metric and len(query) == self.dim and k < self.rows > self.config.exact_below
 
     def lists(self) -> DataFrame:
-        """All indexed rows: id, seq, vector, list_id."""
-        return self.spark.read.schema(self._schema).parquet(f"{self.folder}/lists")
+        """All indexed rows: id, seq, vector, list_id. An index never changes, so its files are listed once."""
+        if self._lists is None:
+            self._lists = self.spark.read.schema(self._schema).parquet(f"{self.folder}/lists")
+        return self._lists
 
     def probes_for(self, k: int, probes: int | None, pool: int | None) -> int:
         """Lists to read so that about ``pool`` candidates (4 k by default) come together."""
@@ -253,14 +255,15 @@ class IvfIndex:
         """
         check_k(k)
         n, dim, metric = self.probes_for(k, probes, pool), self.dim, self.metric
-        asked = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvector_col).cast("array<float>").alias("qv")).where(F.col("qid").isNotNull() & (F.size("qv") == dim)).dropDuplicates(["qid"])
+        asked = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvector_col).cast("array<float>").alias("qv")).where(F.col("qid").isNotNull() & (F.size("qv") == dim))
         most = max(1, query_bytes // (dim * 8))
         table = asked.limit(most + 1).toArrow()  # at most about query_bytes
         if table.num_rows > most:
-            found = self._met(asked, k, n, digits)
+            found = self._met(asked.dropDuplicates(["qid"]), k, n, digits)
         else:
             q, fits = _sound(table["qv"], dim, metric)
-            ids = table["qid"].to_numpy()[fits]
+            ids, first = np.unique(table["qid"].to_numpy()[fits], return_index=True)
+            q = q[first]
             near = self.centres.nearest(_units(q) if metric is Metric.COSINE else q, n) if len(q) else np.empty((0, 0), np.int64)
             by_list: dict[int, np.ndarray] = {-1: np.arange(len(q))}
             if near.size:
