@@ -96,6 +96,8 @@ def similar_pairs(records: DataFrame, *, dim: int, k: int = 10, min_cosine: floa
     pivots = _pivots(rows, min(MAX_PIVOTS, max(1, round(total / shard_rows))), total, dim, seed)
     if not len(pivots):
         return spark.createDataFrame([], "external_id_a long, external_id_b long")
+    if len(pivots) > 1:
+        pivots = _more_pivots(rows, pivots, shard_rows, dim, relax, seed)
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
     placed = rows.select("id", "v", "ask").mapInArrow(_router(pivots, _labels(spark, len(pivots)), dim, k, radius, relax, seed), "shard int, home boolean, ask boolean, reach float, id long, v array<float>")
     found = placed.repartition(len(pivots), "shard").groupBy("shard").applyInArrow(_searcher(dim, k, least, relax, trees, leaf, seed), "a long, b long, c double")
@@ -165,6 +167,44 @@ def _pivots(rows: DataFrame, wanted: int, n: int, dim: int, seed: int) -> np.nda
     return np.unique(u.astype(np.float32), axis=0)[:wanted] if len(u) <= wanted else u[np.sort(np.random.default_rng(seed).permutation(len(u))[:wanted])].astype(np.float32)
 
 
+def _homes(rows: DataFrame, pivots: np.ndarray, dim: int, relax: float, seed: int) -> DataFrame:
+    """Cell of each row's nearest pivot, with its hash and vector."""
+    known = _Pivots(pivots, relax, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, fits = batch_matrix(b.column("v"), dim, np.float32)
+            u, good = _unit(v)
+            for s in range(0, len(u), 1024):
+                row, cell, _ = known.near(u[s : s + 1024], u[s : s + 1024].astype(np.float32), 0.0)
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                at = pa.array(fits[good][s : s + 1024])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[first].astype(np.int32)), b.column("h").take(at), b.column("v").take(at)], ["cell", "h", "v"])
+
+    return rows.select("h", "v").mapInArrow(run, "cell int, h long, v array<float>")
+
+
+def _more_pivots(rows: DataFrame, pivots: np.ndarray, shard_rows: int, dim: int, relax: float, seed: int, rounds: int = 3) -> np.ndarray:
+    """The pivots, and more of them in cells that turned out to hold over twice ``shard_rows`` rows, as
+    many as would bring these to size. Only cell sizes and the new pivots reach the driver."""
+    for i in range(rounds):
+        placed = _homes(rows, pivots, dim, relax, seed)
+        sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_rows).toArrow()
+        spare = MAX_PIVOTS - len(pivots)
+        if not sizes.num_rows or spare < 1:
+            break
+        slots = 1 << 40
+        # A cell of n rows gets about n / shard_rows of its rows: each with the chance 1 / shard_rows.
+        drawn = placed.where(F.col("cell").isin(sizes["cell"].to_pylist()) & (F.pmod(F.xxhash64("h", F.lit(seed + 1 + i)), F.lit(slots)) < slots // shard_rows + 1))
+        table = drawn.select("h", "v").dropDuplicates(["h"]).orderBy("h").limit(spare).toArrow()
+        x, _ = batch_matrix(table["v"], dim, np.float32)
+        more = np.unique(np.concatenate((pivots, _unit(x)[0].astype(np.float32))), axis=0)
+        if len(more) == len(pivots):
+            break
+        pivots = more
+    return pivots
+
+
 def _labels(spark: SparkSession, n: int) -> np.ndarray:
     """Names of the shards, chosen so that Spark's hash puts each into a partition of its own."""
     draws = spark.range(max(64, int(2 * n * np.log(n + 2)) + 8 * n)).select(F.col("id").cast("int").alias("label"))

@@ -152,6 +152,21 @@ def test_no_least_cosine(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_cells_that_hold_too_much_get_more_pivots(spark):
+    rng = np.random.default_rng(11)
+    ball = np.array([1.0] + [0.0] * 7) + 0.05 * rng.standard_normal((1500, 8))
+    far = rng.standard_normal((300, 8))
+    x = np.concatenate((ball, far)).astype(np.float32)
+    u, _ = neighbours._unit(x)
+    h, _ = neighbours.direction_hashes(x, u)
+    df = spark.createDataFrame([(int(a), v.tolist()) for a, v in zip(h, x)], "h long, v array<float>").repartition(4)
+    few = u[-4:].astype(np.float32)  # none in the ball
+    more = neighbours._more_pivots(df, few, 100, 8, 0.07, 3)
+    assert {tuple(p) for p in few.tolist()} <= {tuple(p) for p in more.tolist()}
+    before, after = (np.bincount((u @ p.T).argmax(1)).max() for p in (few, more))
+    assert before > 400 and after <= 400 and len(more) < 60
+
+
 def test_groups_of_pivots_lose_nothing(monkeypatch):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((40, 6))[rng.integers(40, size=900)] + 0.2 * rng.standard_normal((900, 6))
