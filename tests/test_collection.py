@@ -3,6 +3,7 @@
 import glob
 import json
 import math
+import os
 import random
 import shutil
 import tracemalloc
@@ -129,6 +130,11 @@ def test_checkpoint_reopen_and_rebuild(spark, folder):
     shutil.rmtree(folder + "/snapshots/s-00000002")
     d = qs.connect(spark, folder)  # from the log
     assert sorted((r.id, r.seq) for r in d.scan().collect()) == want
+    written = glob.glob(folder + "/commits/d-00000001-*/*.parquet")
+    os.rename(written[0], folder + "/aside")
+    with pytest.raises(qs.StorageError):  # rows are missing from the log
+        qs.connect(spark, folder)
+    os.rename(folder + "/aside", written[0])
     with open(folder + "/MANIFEST.json", "w") as f:
         f.write("{oops")
     with pytest.raises(qs.StorageError):
