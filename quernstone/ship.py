@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ensure_on_executors(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if getattr(sc, "_quernstone_shipped", False):
         return spark
-    at = os.path.join(tempfile.mkdtemp(prefix="package-"), "quernstone.zip")
+    folder = tempfile.mkdtemp(prefix="package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    at = os.path.join(folder, "quernstone.zip")
     with zipfile.ZipFile(at, "w") as z:
         for p in sorted(_ROOT.rglob("*.py")):
             z.write(p, str(Path(_ROOT.name) / p.relative_to(_ROOT)))
